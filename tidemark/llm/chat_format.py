@@ -30,13 +30,13 @@ LEARNED = "assistant"
 
 def escaped(text):
     """Column: no "<|" is left."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"<(\\*)\|", r"<\\\\$1|")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"<(\\*)\|", r"<\\$1|")
 
 
 def escaped_role(role):
     """Column: like escaped, and a role stays on one line."""
-    r = F.regexp_replace(F.coalesce(role, F.lit("")), r"\\", r"\\\\\\\\")
-    return escaped(F.regexp_replace(r, "\n", r"\\\\n"))
+    r = F.regexp_replace(F.coalesce(role, F.lit("")), r"\\", r"\\\\")
+    return escaped(F.regexp_replace(r, "\n", r"\\n"))
 
 
 def unescape(text: str) -> str:

@@ -29,8 +29,9 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-# Entries of the default list, canonical as canonical_entry() writes them.
-LISTED = ("spam-farm.example.com/", "spam-farm.example.net/", "spam-farm.example.org/")
+# The default list's domains, each listed whole ("/" covers all below it).
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED = tuple(f"{name}.example.{top}/" for name in LISTED_NAMES for top in ("com", "net", "org"))
 #: Domain levels and directories of a url that become expressions, counted from the whole host and from the root.
 MAX_LEVELS, MAX_DIRECTORIES = 6, 6
 #: Bits of the filter for each listed entry, and the largest filter that is broadcast (bytes of its words).
