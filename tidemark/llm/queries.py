@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op7_byte_bpe
 from .chat_format import op10_chat_formatting
 from .secret_scan import op3_secret_scans
 from .url_filter import op2_oracle, op2_url_filters
 
 
 def queries() -> dict:
-    found = (op2_url_filters, op3_secret_scans, op10_chat_formatting)
+    found = (op2_url_filters, op3_secret_scans, op7_byte_bpe, op10_chat_formatting)
     return {f.__name__: f for f in found}
 
 
