@@ -5,13 +5,14 @@ from __future__ import annotations
 from .byte_bpe import op7_byte_bpe
 from .chat_format import op10_chat_formatting
 from .html_extract import op9_html_extraction
+from .mixing import op4_mixing
 from .quality import op5_quality_classifier
 from .secret_scan import op3_secret_scans
 from .url_filter import op2_oracle, op2_url_filters
 
 
 def queries() -> dict:
-    found = (op2_url_filters, op3_secret_scans, op5_quality_classifier, op7_byte_bpe, op9_html_extraction, op10_chat_formatting)
+    found = (op2_url_filters, op3_secret_scans, op4_mixing, op5_quality_classifier, op7_byte_bpe, op9_html_extraction, op10_chat_formatting)
     return {f.__name__: f for f in found}
 
 
