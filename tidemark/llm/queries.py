@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op7_byte_bpe
 from .chat_format import op10_chat_formatting
 from .html_extract import op9_html_extraction
+from .minhash_dedup import op1_minhash_dedup
 from .mixing import op4_mixing
 from .quality import op5_quality_classifier
 from .secret_scan import op3_secret_scans
@@ -12,7 +13,7 @@ from .url_filter import op2_oracle, op2_url_filters
 
 
 def queries() -> dict:
-    found = (op2_url_filters, op3_secret_scans, op4_mixing, op5_quality_classifier, op7_byte_bpe, op9_html_extraction, op10_chat_formatting)
+    found = (op1_minhash_dedup, op2_url_filters, op3_secret_scans, op4_mixing, op5_quality_classifier, op7_byte_bpe, op9_html_extraction, op10_chat_formatting)
     return {f.__name__: f for f in found}
 
 
