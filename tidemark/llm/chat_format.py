@@ -91,7 +91,8 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     for k in range(len(jumps) - 2, -1, -1):
         width = 1 << k
         above = paths.join(jumps[k].filter("up is not null"), ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"), (F.col("depth") - width).alias("depth"))
-        paths = paths.unionByName(above)
+        # Written each time: a plan that holds itself twice would double with every round.
+        paths = materialize(paths.unionByName(above), "chat-paths")
     return paths
 
 
