@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
 from .chat_format import op10_chat_formatting
+from .embedding_dedup import op6_embedding_dedup
+from .hamming_search import op8_nearest_neighbours
 from .html_extract import op9_html_extraction
 from .minhash_dedup import op1_minhash_dedup
 from .mixing import op4_mixing
@@ -13,7 +15,7 @@ from .url_filter import op2_oracle, op2_url_filters
 
 
 def queries() -> dict:
-    found = (op1_minhash_dedup, op2_url_filters, op3_secret_scans, op4_mixing, op5_quality_classifier, op7_byte_bpe, op9_html_extraction, op10_chat_formatting)
+    found = (op1_minhash_dedup, op2_url_filters, op3_secret_scans, op4_mixing, op5_quality_classifier, op6_embedding_dedup, op7_byte_bpe, op8_nearest_neighbours, op9_html_extraction, op10_chat_formatting)
     return {f.__name__: f for f in found}
 
 
