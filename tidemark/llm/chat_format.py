@@ -69,18 +69,25 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     step = keep.join(known, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("hops"), F.col("score").alias("gain")
     )
-    # up is the node so many hops above; gain sums the scores of the nodes passed, the start included.
-    jumps = [materialize(step, "chat-jump")]
+    # up is the node so many hops above; gain sums the scores of the nodes passed, the start included. Nodes whose pointer has
+    # passed the root are done and only looked up: a round's rows are the nodes that are deeper than it has reached.
+    step = materialize(step, "chat-jump")
+    done = [step.filter("up is null")]
+    jumps = [step.filter("up is not null")]
     bound = max(1, keep.count()).bit_length()
-    while len(jumps) <= bound and not jumps[-1].filter(F.col("up").isNotNull()).isEmpty():
+    while len(jumps) <= bound and not jumps[-1].isEmpty():
         here = jumps[-1]
-        above = here.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("h2"), F.col("gain").alias("g2"))
-        step = here.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("up2").alias("up"),
-            (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"), (F.col("gain") + F.coalesce("g2", F.lit(0.0))).alias("gain"),
-        )
-        jumps.append(materialize(step, "chat-jump"))
-    whole = jumps[-1].filter(F.col("up").isNull())  # hops: nodes on the path to the root; cycles are not in it
+        known = here
+        for part in done:
+            known = known.unionByName(part)
+        above = known.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("h2"), F.col("gain").alias("g2"))
+        step = here.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("hops") + F.col("h2")).alias("hops"), (F.col("gain") + F.col("g2")).alias("gain"))
+        step = materialize(step, "chat-jump")
+        done.append(step.filter("up is null"))
+        jumps.append(step.filter("up is not null"))
+    whole = done[0]  # hops: nodes on the path to the root; nodes of cycles are never done
+    for part in done[1:]:
+        whole = whole.unionByName(part)
     parents = keep.select("tree", F.col("parent").alias("node")).filter("node is not null").distinct()
     leaves = whole.join(parents, ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("gain"), "node")
@@ -88,9 +95,9 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         leaves.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches).select("tree", "branch", "node", F.col("hops").alias("depth")), "chat-leaves"
     )
     # From the widest jump down: with every node of a path, also the one so far above it; all distances get covered.
-    for k in range(len(jumps) - 2, -1, -1):
+    for k in range(len(jumps) - 1, -1, -1):
         width = 1 << k
-        above = paths.join(jumps[k].filter("up is not null"), ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"), (F.col("depth") - width).alias("depth"))
+        above = paths.join(jumps[k], ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"), (F.col("depth") - width).alias("depth"))
         # Written each time: a plan that holds itself twice would double with every round.
         paths = materialize(paths.unionByName(above), "chat-paths")
     return paths
