@@ -94,9 +94,12 @@ def stream_sequence_watermark(spark, sf_dir):
     s = state_of(spark, sf_dir)
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{root}/source"
-    keyed_events(spark.read.parquet(f"{sf_dir}/events.parquet")).repartitionByRange(4, "id").write.parquet(source)
+    events = keyed_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    half = events.agg(F.floor(F.max("id") / 2)).first()[0] or 0
+    for part in (events.filter(F.col("id") <= half), events.filter(F.col("id") > half)):  # files come in the order of their times
+        part.repartitionByRange(2, "id").write.mode("append").parquet(source)
     sequencer = Sequencer(spark, root, _topics(s))
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 2).parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
     sequence_stream(stream, sequencer, f"{root}/checkpoint").awaitTermination()
     name = f"watermarks_{uuid.uuid4().hex}"
     tops = spark.readStream.schema("sequence long, partition_id long, event_id long, batch long").parquet(f"{root}/sequences")
