@@ -6,6 +6,7 @@ import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,6 +82,55 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, keys: list[str], schema: str, group: Callable[[tuple, pa.Table], list | None]) -> DataFrame:
+    """Groups of df by integer keys, dealt by hash and sorted, streamed through Python: group(key, table) gives output columns.
+
+    For many small groups: they share Arrow batches, and nothing is built for each group but a slice.
+    """
+    spark = df.sparkSession
+    out_schema = _arrow_schema(spark, schema)
+    places = [df.columns.index(k) for k in keys]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        found: list[list] = []
+        size, last = 0, None
+
+        def close():
+            nonlocal held, size
+            result = group(last, pa.Table.from_batches(held))
+            held = []
+            if result is not None and len(result[0]):
+                found.append(result)
+                size += len(result[0])
+
+        def flush():
+            nonlocal found, size
+            parts = [pa.concat_arrays([pa.array(f[k], t) for f in found]) for k, t in enumerate(out_schema.types)]
+            found, size = [], 0
+            return pa.RecordBatch.from_arrays(parts, schema=out_schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = np.stack([batch.column(p).to_numpy(zero_copy_only=False) for p in places])
+            starts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(starts, starts[1:]):
+                key = tuple(columns[:, a].tolist())
+                if held and key != last:
+                    close()
+                    if size >= 20_000:
+                        yield flush()
+                last = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            close()
+        if found:
+            yield flush()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

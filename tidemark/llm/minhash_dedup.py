@@ -24,11 +24,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, table
+from .common import map_groups, map_rows, materialize, table
 from .components import components
 from .shingles import multipliers, shingle_set, signature
 
@@ -88,64 +88,50 @@ def posters(sets: DataFrame, matches: int) -> DataFrame:
 
 def _tiles(posted: DataFrame) -> DataFrame:
     """Rows (token, i, j, side, rep, comp, sig, prefix) of each two blocks i <= j of each posting list."""
-    rows = posted.select("rep", "comp", "sig", F.transform("prefix", lambda x: x["token"]).alias("owned"), F.explode("prefix").alias("post"))
+    rows = posted.select("rep", "comp", "sig", F.transform("whole", lambda x: x["token"]).alias("owned"), F.explode("prefix").alias("post"))
     rows = rows.select("rep", "comp", "sig", "owned", F.col("post.token").alias("token"), F.ceil(F.col("post.df") / BLOCK).alias("blocks"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "sig", "owned")
 
 
-def _signs(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint32).reshape(len(column), COORDINATES)
-
-
-def _retained(rows: pd.DataFrame, one_block: bool, i: int, matches: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the pairs with enough equal coordinates, of different components, and how many are equal."""
-    sig, comp, rep = _signs(rows["sig"]), rows["comp"].to_numpy(), rows["rep"].to_numpy()
-    left = np.arange(len(rows)) if one_block else np.flatnonzero(rows["block"].to_numpy() == i)
-    right = left if one_block else np.flatnonzero(rows["block"].to_numpy() != i)
-    found_a, found_b, found_m = [], [], []
-    columns = np.ascontiguousarray(sig[right].T)
-    for a in left:
-        equal = np.zeros(len(right), np.int16)
-        for k in range(COORDINATES):
-            equal += columns[k] == sig[a, k]
-        good = (equal >= matches) & (comp[right] != comp[a]) & (rep[right] != rep[a])
-        if one_block:
-            good &= right > a
-        hits = np.flatnonzero(good)
-        found_a.append(np.full(len(hits), a))
-        found_b.append(right[hits])
-        found_m.append(equal[hits])
-    if not found_a:
-        return (np.empty(0, np.int64),) * 3
-    return np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_m)
+def _signs(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint32).reshape(rows.num_rows, COORDINATES)
+
+
+def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Equal coordinates of each row of x and each row of y."""
+    out = np.empty((len(x), len(y)), np.int16)
+    for at in range(0, len(x), 32):
+        out[at : at + 32] = (x[at : at + 32, None, :] == y[None, :, :]).sum(axis=2)
+    return out
 
 
 _PAIRS = "a long, b long"
 
 
-def _pairs(rep: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+def _pairs(rep: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
     x, y = rep[a], rep[b]
-    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+    two = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
+    return [two[0], two[1]]
 
 
 def typical_pairs(matches: int):
     """First round: each member of a block with its most typical members, those whose values are most common in it."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep", ignore_index=True)
-        sig, rep = _signs(rows["sig"]), rows["rep"].to_numpy()
-        common = np.zeros(len(rows), np.int64)
-        for k in range(COORDINATES):
-            _, place, count = np.unique(sig[:, k], return_inverse=True, return_counts=True)
-            common += count[place]
-        hubs = np.argsort(-common, kind="stable")[:TYPICAL]
-        parts = []
-        for h in hubs:
-            good = np.flatnonzero(((sig == sig[h]).sum(axis=1) >= matches) & (rep != rep[h]))
-            parts.append(_pairs(rep, np.full(len(good), h), good))
-        return pd.concat(parts).drop_duplicates()
+    def run(key: tuple, rows: pa.Table) -> list | None:
+        if rows.num_rows < 2:
+            return None
+        order = np.argsort(rows["rep"].to_numpy(), kind="stable")
+        sig, rep = _signs(rows)[order], rows["rep"].to_numpy()[order]
+        common = np.zeros(len(rep), np.int64)
+        if len(rep) > 2:
+            for k in range(COORDINATES):
+                _, place, count = np.unique(sig[:, k], return_inverse=True, return_counts=True)
+                common += count[place]
+        hubs = np.argsort(-common, kind="stable")[: TYPICAL if len(rep) > 2 else 1]
+        h, m = np.nonzero((_equal(sig[hubs], sig) >= matches) & (rep[hubs][:, None] != rep[None]))
+        return _pairs(rep, hubs[h], m) if len(h) else None
 
     return run
 
@@ -156,22 +142,41 @@ def best_pairs(matches: int, most: int | None):
     A pair belongs to the list of the first token that both prefixes share; only that list yields it.
     """
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pa.Table) -> list | None:
         token, i, j = key
-        if rows["comp"].nunique() < 2:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        rows = rows.sort_values("rep", ignore_index=True)
-        a, b, m = _retained(rows, i == j, i, matches)
-        if most is None and len(a):
-            owned = [set(x) for x in rows["owned"]]
+        comp = rows["comp"].to_numpy()
+        if rows.num_rows < 2 or (comp == comp[0]).all():
+            return None
+        order = np.argsort(rows["rep"].to_numpy(), kind="stable")
+        comp, sig, rep, block = comp[order], _signs(rows)[order], rows["rep"].to_numpy()[order], rows["block"].to_numpy()[order]
+        left = np.arange(len(rep)) if i == j else np.flatnonzero(block == i)
+        right = left if i == j else np.flatnonzero(block != i)
+        found_a, found_b, found_m = [], [], []
+        for at in range(0, len(left), 64):
+            part = left[at : at + 64]
+            equal = _equal(sig[part], sig[right])
+            good = (equal >= matches) & (comp[part][:, None] != comp[right][None]) & (rep[part][:, None] != rep[right][None])
+            if i == j:
+                good &= part[:, None] < right[None]
+            p, q = np.nonzero(good)
+            found_a.append(part[p])
+            found_b.append(right[q])
+            found_m.append(equal[p, q])
+        a, b, m = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_m)
+        if not len(a):
+            return None
+        if most is None:
+            owned = [set(x) for x in rows["owned"].take(pa.array(order)).to_pylist()]
             own = np.fromiter((min(owned[x] & owned[y]) == token for x, y in zip(a, b)), bool, len(a))
             a, b = a[own], b[own]
-        elif len(a):
-            comp = rows["comp"].to_numpy()
-            two = pd.DataFrame({"x": np.minimum(comp[a], comp[b]), "y": np.maximum(comp[a], comp[b]), "m": -m, "a": a, "b": b})
-            two = two.sort_values(["x", "y", "m", "a", "b"]).groupby(["x", "y"], sort=False).head(most)
-            a, b = two["a"].to_numpy(), two["b"].to_numpy()
-        return _pairs(rows["rep"].to_numpy(), a, b)
+        else:
+            x, y = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
+            by = np.lexsort((b, a, -m, y, x))
+            a, b, x, y = a[by], b[by], x[by], y[by]
+            first = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            since = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
+            a, b = a[since < most], b[since < most]
+        return _pairs(rep, a, b) if len(a) else None
 
     return run
 
@@ -217,12 +222,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links = tried = None
     comps = None
     for step in (typical_pairs(matches), best_pairs(matches, BEST), best_pairs(matches, None)):
-        now = posted.withColumn("comp", F.col("rep"))
+        now = posted.select("rep", F.col("rep").alias("comp"), "sig", "prefix", F.col("prefix").alias("whole"))
         if comps is not None:
-            now = posted.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+            at = comps.select(F.col("node").alias("rep"), "component")
+            now = posted.join(at, "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), "sig", F.explode("prefix").alias("post"), F.col("prefix").alias("whole"))
+            # Lists whose members are all of one component are settled.
+            lists = now.groupBy("post.token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
+            now = now.join(lists.select(F.col("token").alias("open")), F.col("post.token") == F.col("open"), "left_semi")
+            now = now.select("rep", "comp", "sig", F.array("post").alias("prefix"), "whole")
         tiles = _tiles(now)
         tiles = tiles.filter("i = j") if comps is None else tiles
-        pairs = tiles.groupBy("token", "i", "j").applyInPandas(step, _PAIRS).distinct()
+        pairs = map_groups(tiles, ["token", "i", "j"], _PAIRS, step).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "minhash-pairs")
