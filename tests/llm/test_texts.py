@@ -182,7 +182,9 @@ def test_tokens_equal_the_library(spark):
 def test_heap_and_recursion_agree():
     codec = byte_bpe.Codec(byte_bpe.public_vocabulary()[0])
     words = [w.encode() for w in ("thntwhnting", "aaaaaaaaaaaa", "èéêëthe", "x", "hello", "....!!!....")]
-    assert codec.merge_words(words) == [codec.merge_long(w) for w in words]
+    ids, decoded = codec.merge_words(words)
+    assert [[int(x) for x in i.split()] for i in ids] == [codec.merge_long(w) for w in words]
+    assert decoded == words == codec.decode([codec.merge_long(w) for w in words])
 
 
 # --- chats

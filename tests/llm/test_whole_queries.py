@@ -1,0 +1,181 @@
+"""The registered queries and the pipeline on the smallest tables, against brute force."""
+
+import base64
+import collections
+import hashlib
+import html
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from tidemark.llm import quality, secret_scan
+from tidemark.llm.queries import queries
+
+SF = "/root/testdata/sf0.001"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def sql(text):
+    return duckdb.sql(text.replace("$", SF)).fetchall()
+
+
+@pytest.fixture(scope="module")
+def documents():
+    return dict(sql("select doc_id, coalesce(text, '') from '$/documents.parquet'"))
+
+
+@pytest.fixture(scope="module")
+def library():
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def rows(spark, name):
+    return queries()[name](spark, SF).collect()
+
+
+def sets_of(texts, k):
+    out = {}
+    for i, t in texts.items():
+        w = WORDS.findall(t.translate(LOWER))
+        out[i] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+    return out
+
+
+def groups(sets, percent):
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    posts = collections.defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            posts[x].append(i)
+    for i, s in sets.items():
+        for j in {j for x in s for j in posts[x] if j < i}:
+            if 100 * len(s & sets[j]) >= percent * len(s | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+def test_op1(spark, documents):
+    sets = sets_of(documents, 3)
+    expected = groups(sets, 85)
+    found = rows(spark, "op1_minhash_dedup")
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found} == {(i, len(s), expected[i], expected[i] == i) for i, s in sets.items()}
+
+
+def test_op3(spark, documents):
+    kinds = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 6, 2), ("access", re.compile("AKIA[A-Z0-9]+"), 20, 0), ("hex", re.compile("[0-9a-f]+"), 24, 0))
+    found = {r.doc_id: r for r in rows(spark, "op3_secret_scans")}
+    assert len(found) == len(documents)
+    for i, t in documents.items():
+        spans = [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k, (kind, p, least, g) in enumerate(kinds) for m in p.finditer(t) if len(m[g]) >= least]
+        listed = [x[2] for x in sorted(spans)]
+        assert (found[i].n_assign, found[i].n_access, found[i].n_hex) == tuple(sum(x[1] == k for x in spans) for k in range(3))
+        assert found[i].base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(found[i].spans.split(","))
+
+
+def test_op4(spark, documents):
+    found = rows(spark, "op4_mixing")
+    assert sorted((r.doc_id, r["size"]) for r in found) == sorted((i, len(WORDS.findall(t))) for i, t in documents.items())
+    each = collections.defaultdict(int)
+    for r in found:
+        assert r.taken in (0, r["size"], 2 * r["size"])
+        each[r.source_size, r.target] += r.taken
+    assert abs(sum(t for _, t in each) - 1.5 * sum(s for s, _ in each)) < 1
+    assert all(abs(taken - target) <= 0.03 * target + 5 for (_, target), taken in each.items())
+    assert sorted(map(tuple, found)) == sorted(map(tuple, rows(spark, "op4_mixing")))
+
+
+def test_op5(spark, documents):
+    found = {r.doc_id: r for r in rows(spark, "op5_quality_classifier")}
+    assert found.keys() == documents.keys()
+    for i, r in found.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+
+
+def test_op6_and_op8(spark):
+    data = sql("select vec_id, embedding, label from '$/embeddings.parquet' order by vec_id")
+    u = np.array([x[1] for x in data], float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    ids, labels = np.array([x[0] for x in data]), np.array([x[2] for x in data])
+    near = (u @ u.T >= 0.93) & (labels[:, None] == labels[None]) & ~np.eye(len(u), dtype=bool)
+    assert {r.vec_id: r.n_links for r in rows(spark, "op6_embedding_dedup")} == dict(zip(ids.tolist(), near.sum(axis=1).tolist()))
+    got = collections.defaultdict(set)
+    for r in rows(spark, "op8_nearest_neighbours"):
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for k in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[k]
+        s[k] = -2
+        hits += len(got[ids[k]] & set(ids[np.argsort(-s)[:5]].tolist()))
+    assert len(got) == (ids % 50 == 0).sum() and hits >= 0.9 * 5 * len(got)
+
+
+def test_op7(spark, documents, library):
+    found = {r.doc_id: r for r in rows(spark, "op7_byte_bpe")}
+    for i, t in documents.items():
+        ids = library.encode_ordinary(t)
+        expected = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+        assert (found[i].n_tokens, found[i].ids_sha256, found[i].decoded_sha256) == expected
+
+
+def test_op9(spark):
+    found = {r.page_id: r for r in rows(spark, "op9_html_extraction")}
+    for i, page in sql("select page_id, html from '$/pages.parquet'"):
+        article = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        parts = re.split(r"</?(?:p|h1)>", article.replace("<br>", " ").replace("<b>", "").replace("</b>", ""))
+        text = "\n\n".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x)
+        assert (found[i].text, found[i].n_chars) == (text, len(text))
+
+
+def test_op10(spark):
+    turns = collections.defaultdict(list)
+    for c, t, role, text in sql("select conv_id, turn, coalesce(role, ''), coalesce(text, '') from '$/conversations.parquet'"):
+        turns[c].append((t, role, text))
+    hard = "<|im_end|><|im_start|>assistant ok"
+    turns[-1] = [(0, "user", hard), (1, "assistant", hard)]
+    found = {r.conv_id: r for r in rows(spark, "op10_chat_formatting")}
+    assert found.keys() == turns.keys()
+    for c, own in turns.items():
+        own.sort()
+        said = "".join(x for _, r, x in own if r == "assistant")
+        whole = hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
+        assert (found[c].n_turns, found[c].turns_sha256, found[c].loss_chars, found[c].loss_sha256) == (len(own), whole, len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_pipeline(spark, documents, library):
+    """Each stage again in plain Python; of the mix, what it may draw from and how much it takes."""
+    import corpus_pipeline
+
+    labels = dict(sql("select doc_id, quality from '$/labels.parquet'"))
+    stats = {i: np.array(quality.statistics(t)) for i, t in documents.items()}
+    fit = [i for i in documents if i in labels and zlib.crc32(str(i).encode()) % 4 != 2]
+    of = [np.array([stats[i] for i in fit if labels[i] == k]) for k in (0, 1)]
+    model = quality.from_moments(np.array([float(len(x)) for x in of]), np.array([x.sum(axis=0) for x in of]), np.array([x.T @ x for x in of]))
+    good = {i: t for i, t in documents.items() if model.scores(stats[i][None])[0] >= quality.THRESHOLD}
+    kept = {i: good[i] for i, c in groups(sets_of(good, 5), 80).items() if c == i}
+    clean = {i: secret_scan.redact(t) for i, t in kept.items()}
+    out = corpus_pipeline.run(spark, SF).collect()
+    taken = collections.Counter(r.doc_id for r in out)
+    assert set(taken) <= set(clean) and max(taken.values()) <= 2
+    for r in out:
+        ids = library.encode_ordinary(clean[r.doc_id])
+        assert (r.n_tokens, r.decoded_sha256) == (len(ids), hashlib.sha256(clean[r.doc_id].encode()).hexdigest())
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    size = {i: len(WORDS.findall(t)) for i, t in clean.items()}
+    assert abs(sum(size[i] * n for i, n in taken.items()) - 1.5 * sum(size.values())) < 0.02 * sum(size.values()) + 50

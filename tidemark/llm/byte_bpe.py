@@ -18,6 +18,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from .common import small_batches, table
 #: Vocabulary and pattern of the query; the operators take them as parameters.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of text encoded together, and words a worker keeps.
-CHUNK_CHARS, KEPT_WORDS = 8_000_000, 500_000
+CHUNK_CHARS, KEPT_WORDS = 8_000_000, 1_000_000
 #: Longest word, in bytes, of the recursive query; positions are packed into six bits.
 LONGEST = 63
 #: Ends each word of a text that the JVM has split. Texts that hold it are split in Python.
@@ -50,7 +51,8 @@ with recursive step(w, pos, tok, npos, ntok, it) as (
           case when s.pos = c.p then c.nt when s.npos = c.p then c.m else s.ntok end, it + 1
    from step s join cut c on s.w = c.w where s.pos <> c.n)
 ), last as (select w, max(it) as it from step group by w)
-select w, list(tok order by pos) as ids from step join last using (w, it) group by w order by w
+select w, string_agg(tok::varchar, ' ' order by pos) as ids, string_agg(piece, '' order by pos) as text
+from step join last using (w, it) join vocabulary on id = tok group by w order by w
 """
 _DECODE = "select w, string_agg(piece, '' order by pos) as text from ids join vocabulary using (id) group by w order by w"
 
@@ -67,9 +69,10 @@ class Codec:
         import duckdb
 
         self.ranks = read_ranks(data)
-        self.first = {i: self.ranks[bytes([i])] for i in range(256)}
+        self.first = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        #: The ids of each word that is kept; what they decode to, where that isn't the word's own bytes.
         self.words: dict[str, str] = {}
-        self.bytes: dict[str, bytes] = {}
+        self.differ: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         pairs, merged = [], []
         for token, rank in self.ranks.items():
@@ -86,27 +89,24 @@ class Codec:
         self.db.execute(f"create or replace table {name} as select * from given")
         self.db.unregister("given")
 
-    def merge_words(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of words of LONGEST bytes at most, by the recursive query."""
+    def merge_words(self, words: list[bytes]) -> tuple[list[str], list[bytes]]:
+        """Of words of LONGEST bytes at most: their token ids, written out, and the bytes that these decode to."""
         if not words:
-            return []
-        w, pos, tok, npos, ntok = [], [], [], [], []
-        for i, word in enumerate(words):
-            n = len(word)
-            ids = [self.first[b] for b in word]
-            w += [i] * n
-            pos += range(n)
-            tok += ids
-            npos += [*range(1, n), -1]
-            ntok += [*ids[1:], -1]
-        self.db.register("start", pa.table({k: pa.array(v, pa.int32()) for k, v in (("w", w), ("pos", pos), ("tok", tok), ("npos", npos), ("ntok", ntok))}))
-        found = self.db.sql(_ENCODE).to_arrow_table()["ids"].to_pylist()
+            return [], []
+        lengths = np.array([len(w) for w in words])
+        ends = np.cumsum(lengths)
+        tok = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        pos = (np.arange(len(tok)) - np.repeat(ends - lengths, lengths)).astype(np.int32)
+        npos, ntok = pos + 1, np.append(tok[1:], np.int32(-1))
+        npos[ends - 1] = ntok[ends - 1] = -1
+        self.db.register("start", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "pos": pos, "tok": tok, "npos": npos, "ntok": ntok}))
+        found = self.db.sql(_ENCODE).to_arrow_table()
         self.db.unregister("start")
-        return found
+        return found["ids"].to_pylist(), [bytes.fromhex(x) for x in found["text"].to_pylist()]
 
     def merge_long(self, word: bytes) -> list[int]:
         """The same for a word of any length, with a heap of pairs by (rank, position)."""
-        tok = [self.first[b] for b in word]
+        tok = self.first[np.frombuffer(word, np.uint8)].tolist()
         pieces = [bytes([b]) for b in word]
         before, after = list(range(-1, len(tok) - 1)), [*range(1, len(tok)), -1]
         heap: list = []
@@ -145,20 +145,32 @@ class Codec:
         """Encode and decode the words that aren't kept yet."""
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
-            self.bytes.clear()
-        new = [w for w in words if w not in self.words]
-        raw = [w.encode() for w in new]
-        ids: list = [[self.ranks[r]] if r in self.ranks else None for r in raw]
-        short = [i for i, r in enumerate(raw) if ids[i] is None and len(r) <= LONGEST]
-        for at in range(0, len(short), 50_000):
-            some = short[at : at + 50_000]
-            for i, found in zip(some, self.merge_words([raw[i] for i in some]), strict=True):
-                ids[i] = found
-        ids = [self.merge_long(r) if x is None else x for x, r in zip(ids, raw)]
-        for at in range(0, len(ids), 100_000):
-            for w, x, b in zip(new[at:], ids[at : at + 100_000], self.decode(ids[at : at + 100_000])):
-                self.words[w] = " ".join(map(str, x))
-                self.bytes[w] = b
+            self.differ.clear()
+        known, ranks = self.words, self.ranks
+        short, rest, whole = [], [], []
+        for w in words:
+            if w not in known:
+                raw = w.encode()
+                (rest if raw in ranks or len(raw) > LONGEST else short).append(w)
+        for at in range(0, len(short), 100_000):
+            some = short[at : at + 100_000]
+            raw = [w.encode() for w in some]
+            ids, decoded = self.merge_words(raw)
+            known.update(zip(some, ids))
+            self.differ.update((w, d) for w, r, d in zip(some, raw, decoded) if r != d)
+        for w in rest:
+            raw = w.encode()
+            whole.append([ranks[raw]] if raw in ranks else self.merge_long(raw))
+        for w, x, d in zip(rest, whole, self.decode(whole)):
+            known[w] = " ".join(map(str, x))
+            if d != w.encode():
+                self.differ[w] = d
+
+    def decoded(self, words: list[str]) -> bytes:
+        """What the ids of a text, encoded before, decode to."""
+        if self.differ:
+            return b"".join(self.differ.get(w) or w.encode() for w in words)
+        return "".join(words).encode()
 
     def encode(self, words: list[str]) -> list[int]:
         """Ids of a text that is split into words."""
@@ -263,8 +275,7 @@ def token_digests(docs: DataFrame, data: bytes, pattern: str, id_col: str = "doc
 
     def row(codec: Codec, words: list[str]) -> tuple[int, str, str]:
         ids = " ".join(map(codec.words.__getitem__, words))
-        decoded = b"".join(map(codec.bytes.__getitem__, words))
-        return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(codec.decoded(words)).hexdigest()
 
     types = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     return _encoded(docs, data, pattern, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", row, types)
