@@ -6,7 +6,8 @@
    one of their K - T + 1 rarest ones (prefix), in any order common to all; the order is by how many documents have a token.
    Tokens that only one document has can't join anything. Common shingles and shared passages come last in that order and are
    skipped, not scanned.
-3. In each posting list, collisions of whole signatures are counted block by block and pairs with at least T are retained.
+3. In each posting list, collisions of whole signatures (after the first round, of wider ones) are counted block by block and
+   pairs with enough are retained.
    Long lists are dealt in blocks, and each two blocks are compared in a task of their own.
 4. Retained pairs are confirmed on full shingle sets. As only components are asked for, pairs within one are never needed: the
    first round tries each block's members against its most typical ones, the second the best pairs of each two components, and
@@ -37,6 +38,8 @@ COORDINATES = 64
 #: Standard deviations that the match threshold lies below the matches expected at the similarity sought: of such pairs, about
 #: one in two thousand is missed.
 DEVIATIONS = 3.3
+#: Coordinates that later rounds count collisions on: only sets that share a token have them.
+WIDE = 256
 #: Members of a block of a posting list, typical members tried in the first round, pairs tried of two components in the second.
 BLOCK, TYPICAL, BEST = 1024, 2, 4
 #: Ids that are broadcast to find their rows, at most; beyond, they are joined by shuffle.
@@ -95,8 +98,8 @@ def _tiles(posted: DataFrame) -> DataFrame:
     return rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "sig", "owned")
 
 
-def _signs(rows: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint32).reshape(rows.num_rows, COORDINATES)
+def _signs(rows: pa.Table, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["sig"].to_pylist()), kind).reshape(rows.num_rows, -1)
 
 
 def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -148,7 +151,7 @@ def best_pairs(matches: int, most: int | None):
         if rows.num_rows < 2 or (comp == comp[0]).all():
             return None
         order = np.argsort(rows["rep"].to_numpy(), kind="stable")
-        comp, sig, rep, block = comp[order], _signs(rows)[order], rows["rep"].to_numpy()[order], rows["block"].to_numpy()[order]
+        comp, sig, rep, block = comp[order], _signs(rows, np.uint8)[order], rows["rep"].to_numpy()[order], rows["block"].to_numpy()[order]
         left = np.arange(len(rep)) if i == j else np.flatnonzero(block == i)
         right = left if i == j else np.flatnonzero(block != i)
         found_a, found_b, found_m = [], [], []
@@ -165,16 +168,17 @@ def best_pairs(matches: int, most: int | None):
         a, b, m = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_m)
         if not len(a):
             return None
-        if most is None:
-            owned = [set(x) for x in rows["owned"].take(pa.array(order)).to_pylist()]
-            own = np.fromiter((min(owned[x] & owned[y]) == token for x, y in zip(a, b)), bool, len(a))
-            a, b = a[own], b[own]
-        else:
+        owned = [set(x) for x in rows["owned"].take(pa.array(order)).to_pylist()]
+        own = np.fromiter((min(owned[x] & owned[y]) == token for x, y in zip(a, b)), bool, len(a))
+        a, b, m = a[own], b[own], m[own]
+        if most is not None:
             x, y = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
             by = np.lexsort((b, a, -m, y, x))
             a, b, x, y = a[by], b[by], x[by], y[by]
-            first = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-            since = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
+            since = np.zeros(len(a), np.int64)
+            if len(a):
+                first = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+                since = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
             a, b = a[since < most], b[since < most]
         return _pairs(rep, a, b) if len(a) else None
 
@@ -182,16 +186,20 @@ def best_pairs(matches: int, most: int | None):
 
 
 def full_sets(docs: DataFrame, posted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(rep, shingles) of the documents that stand for a posted set: sorted 64-bit hashes, as bytes."""
+    """(rep, shingles, wide) of the documents that stand for a posted set: sorted 64-bit hashes, as bytes, and a signature of
+    more coordinates, of a byte each."""
     ids = posted.select("rep").distinct()
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_col).join(wanted, "rep", "left_semi")
+    coefficients = multipliers(WIDE)
 
     def whole(rows: Iterator[tuple]) -> Iterator[tuple]:
         for rep, text in rows:
-            yield rep, shingle_set(text, words).tobytes()
+            s = shingle_set(text, words)
+            if len(s):
+                yield rep, s.tobytes(), signature(s, coefficients).astype(np.uint8).tobytes()
 
-    return map_rows(texts, "rep long, shingles binary", whole)
+    return map_rows(texts, "rep long, shingles binary, wide binary", whole).dropDuplicates()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -221,15 +229,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     shingles = materialize(full_sets(docs, posted, words, id_col, text_col), "minhash-shingles")
     links = tried = None
     comps = None
-    for step in (typical_pairs(matches), best_pairs(matches, BEST), best_pairs(matches, None)):
+    many = match_threshold(percent / 100, WIDE)
+    for step in (typical_pairs(matches), best_pairs(many, BEST), best_pairs(many, None)):
         now = posted.select("rep", F.col("rep").alias("comp"), "sig", "prefix", F.col("prefix").alias("whole"))
         if comps is not None:
             at = comps.select(F.col("node").alias("rep"), "component")
-            now = posted.join(at, "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), "sig", F.explode("prefix").alias("post"), F.col("prefix").alias("whole"))
+            now = posted.join(at, "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), F.explode("prefix").alias("post"), F.col("prefix").alias("whole"))
             # Lists whose members are all of one component are settled.
             lists = now.groupBy("post.token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
             now = now.join(lists.select(F.col("token").alias("open")), F.col("post.token") == F.col("open"), "left_semi")
-            now = now.select("rep", "comp", "sig", F.array("post").alias("prefix"), "whole")
+            now = now.join(shingles.select("rep", F.col("wide").alias("sig")), "rep").select("rep", "comp", "sig", F.array("post").alias("prefix"), "whole")
         tiles = _tiles(now)
         tiles = tiles.filter("i = j") if comps is None else tiles
         pairs = map_groups(tiles, ["token", "i", "j"], _PAIRS, step).distinct()
