@@ -186,6 +186,10 @@ def test_mixed_documents(spark):
     taken = mixing.copies(mixing.sized(df).select("doc_id", "source", "size")).agg({"copies": "sum"}).first()[0]
     assert len(out) == taken and out[0].asDict().keys() == dict.fromkeys(df.columns).keys()
     assert mixing.mix_documents(df.limit(0)).count() == 0
+    clash = df.select("*", *(F.lit(i).alias(c) for i, c in enumerate(("size", "key", "copies", "turn", "stats", "score", "all"))))
+    assert mixing.mix_documents(clash).columns == clash.columns
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    assert quality.keep_good(clash, labels).columns == clash.columns
 
 
 def test_quality_on_held_out_rows(spark):

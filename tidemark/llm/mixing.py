@@ -168,14 +168,15 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    # Rows that are equal in all columns are interchangeable: they share a key and what is taken of them.
-    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
-    sizes = sized(keyed).select("doc_id", "source", "size", "_key")
-    taken = copies(sizes).groupBy("doc_id", "_key").agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows")).filter("_all > 0")
-    turn = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.lit(1)))
-    found = keyed.withColumn("_id", F.coalesce("doc_id", F.lit(0))).join(
-        taken.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), "_key", "_all", "_rows"), ["_id", "_key"]
-    )
-    found = found.withColumn("_turn", turn)
-    times = F.floor(F.col("_all") / F.col("_rows")) + (F.col("_turn") <= F.col("_all") % F.col("_rows")).cast("long")
-    return found.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    # Columns get names of their own, whatever docs has. Rows that are equal in all columns are interchangeable: they share a key
+    # and what is taken of them.
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
+    keyed = plain.withColumn("key", F.xxhash64(*plain.columns)).withColumn("id", F.coalesce(F.col(names["doc_id"]), F.lit(0)))
+    sizes = sized(keyed, names["text"]).select(F.col(names["doc_id"]).alias("doc_id"), F.col(names["source"]).alias("source"), "size", "key", "id")
+    taken = copies(sizes).groupBy("id", "key").agg(F.sum("copies").alias("all"), F.count("*").alias("rows")).filter(F.col("all") > 0)
+    turn = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(1)))
+    found = keyed.join(taken, ["id", "key"]).withColumn("turn", turn)
+    times = F.floor(F.col("all") / F.col("rows")) + (F.col("turn") <= F.col("all") % F.col("rows")).cast("long")
+    found = found.withColumn("times", times).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return found.select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -178,6 +178,9 @@ def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier, fitted on the labels of docs, doesn't reject."""
-    measured = materialize(with_statistics(docs), "quality-docs")
-    model = fit(measured.select(F.col("doc_id").alias("id"), "stats"), learnable(labels))
-    return scored(measured, model).filter(F.col("score") >= threshold).drop("score")
+    # The two columns that are added get names of their own, whatever other columns docs has.
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
+    measured = materialize(with_statistics(plain, names["text"]), "quality-docs")
+    model = fit(measured.select(F.col(names["doc_id"]).alias("id"), "stats"), learnable(labels))
+    return scored(measured, model).filter(F.col("score") >= threshold).select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -117,6 +117,7 @@ def bloom_blocks(entries: DataFrame, blocks: int) -> DataFrame:
 
 def listed_hits(pages: DataFrame, listed: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """pages with host and path -> pages with a boolean listed. listed has one string column, the urls or hosts."""
+    pages = pages.drop("listed")
     entries = listed.select(canonical_entry(F.col(listed.columns[0])).alias("entry")).filter("entry is not null and entry <> '' and entry not like '/%'").distinct()
     n = entries.count()
     if not n:
