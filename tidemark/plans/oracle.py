@@ -155,6 +155,18 @@ _SELECTS = {
     "consumer_heartbeat_deadline": "select id, heartbeat_interval, heartbeat_detected_at, heartbeat_deadline from deadlines",
     "consumer_lease_target": "select consumer_id, subscription_id, target, active_partitions from targets",
     "rebalance_decision": "select consumer_id, subscription_id, active, target, decision, n from decisions",
+    "rebalance_leases": f"""with free as (select c.* from working c left join kept l on c.id = l.cursor_id left join live w on l.consumer_id = w.id
+        where l.cursor_id is null or w.heartbeat_detected_at < w.heartbeat_deadline),
+      wish as (select * from (select c.consumer_id, f.*, d.n, row_number() over (partition by c.consumer_id order by f.random_key < {PIVOT}, f.random_key, f.id) as turn
+        from free f join live_choices c on c.topic_id = f.topic_id join decisions d on d.consumer_id = c.consumer_id and d.subscription_id = f.subscription_id where d.decision = 'acquire') where turn <= n),
+      takes as (select id, min(consumer_id) as consumer_id from wish group by 1),
+      half as (select l.*, row_number() over (partition by l.consumer_id, l.subscription_id order by p.high_watermark - c.position, l.cursor_id) as place, count(*) over (partition by l.consumer_id, l.subscription_id) as held
+        from kept l join cursors c on c.id = l.cursor_id join partitions p on p.id = l.partition_id where l.state = 'ACTIVE'),
+      gone as (select h.cursor_id from (select *, row_number() over (partition by consumer_id, subscription_id order by acquired_at desc, cursor_id) as turn from half where place <= ceil(held * 0.5)) h
+        join decisions d on d.consumer_id = h.consumer_id and d.subscription_id = h.subscription_id where d.decision = 'release' and h.turn <= d.n),
+      after as (select cursor_id, consumer_id, version, state from kept where cursor_id not in (select id from takes)
+        union all select t.id, t.consumer_id, coalesce(k.version, 0) + 1, 'ACTIVE' from takes t left join kept k on k.cursor_id = t.id)
+      select cursor_id, consumer_id, version, case when cursor_id in (select cursor_id from gone) then 'RELEASING' else state end as state from after""",
     "check_in_all": """select d.consumer_id, 'ACCEPTED' as status, t.heartbeat_interval, t.heartbeat_deadline, d.decision, d.n from decisions d join deadlines t on t.id = d.consumer_id""",
     "namespace_closure": "select ancestor_id, descendant_id, depth from closures",
     "namespace_descendants": "select ancestor_id as root_id, descendant_id as id, depth from closures where ancestor_id in (select id from namespaces where parent_id is null)",
@@ -194,4 +206,4 @@ _SELECTS = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _PREFIX + select for name, select in _SELECTS.items()}
+    return {name: _PREFIX + (", " + select[5:] if select.startswith("with ") else select) for name, select in _SELECTS.items()}
