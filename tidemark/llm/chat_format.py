@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, materialize, table
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>\n", "\n"
+# Fixed value: both texts of the conversation that the query adds.
+ADDED = "<|im_end|><|im_start|>assistant ok"
 #: The role whose texts are learned.
 LEARNED = "assistant"
 
@@ -145,6 +147,20 @@ def digest(formatted: DataFrame) -> DataFrame:
 
 def op10_chat_formatting(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    hard = "<|im_end|><|im_start|>assistant ok"
-    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ADDED).alias("text"))
     return digest(format_conversations(rows.unionByName(added)))
+
+
+def op10_oracle() -> str:
+    escaped_text, line = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')", "replace(replace(role, '\\', '\\\\'), chr(10), '\\n')"
+    fixed = len(START) + len(BREAK) + len(END)
+    return f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '{ADDED}' union all select -1, 1, '{LEARNED}', '{ADDED}')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = '{LEARNED}'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = '{LEARNED}'), '')) as loss_sha256,
+       sum({fixed} + length({escaped_text.format(line)}) + length({escaped_text.format("text")}))::bigint as formatted_chars
+from turns group by conv_id
+"""

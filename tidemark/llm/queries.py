@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
-from .chat_format import op10_chat_formatting
+from .chat_format import op10_chat_formatting, op10_oracle
 from .embedding_dedup import op6_embedding_dedup
 from .hamming_search import op8_nearest_neighbours
 from .html_extract import op9_html_extraction
@@ -20,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": op2_oracle()}
+    return {"op2_url_filters": op2_oracle(), "op10_chat_formatting": op10_oracle()}
