@@ -27,8 +27,8 @@ from .common import small_batches, table
 
 #: Vocabulary and pattern of the query; the operators take them as parameters.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Characters of text encoded together, and words a worker keeps.
-CHUNK_CHARS, KEPT_WORDS = 8_000_000, 1_000_000
+#: Characters of text encoded together, and words kept during a task, at most.
+CHUNK_CHARS, KEPT_WORDS = 6_000_000, 600_000
 #: Longest word, in bytes, of the recursive query; positions are packed into six bits.
 LONGEST = 63
 #: Ends each word of a text that the JVM has split. Texts that hold it are split in Python.
@@ -65,7 +65,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Codec:
     """The vocabulary in a DuckDB instance with one thread."""
 
-    def __init__(self, data: bytes, memory: str = "400MB"):
+    def __init__(self, data: bytes, memory: str = "256MB"):
         import duckdb
 
         self.ranks = read_ranks(data)
@@ -144,16 +144,15 @@ class Codec:
     def learn(self, words: set[str]) -> None:
         """Encode and decode the words that aren't kept yet."""
         if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-            self.differ.clear()
+            self.forget()
         known, ranks = self.words, self.ranks
         short, rest, whole = [], [], []
         for w in words:
             if w not in known:
                 raw = w.encode()
                 (rest if raw in ranks or len(raw) > LONGEST else short).append(w)
-        for at in range(0, len(short), 100_000):
-            some = short[at : at + 100_000]
+        for at in range(0, len(short), 40_000):
+            some = short[at : at + 40_000]
             raw = [w.encode() for w in some]
             ids, decoded = self.merge_words(raw)
             known.update(zip(some, ids))
@@ -166,6 +165,10 @@ class Codec:
             if d != w.encode():
                 self.differ[w] = d
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.differ.clear()
+
     def decoded(self, words: list[str]) -> bytes:
         """What the ids of a text, encoded before, decode to."""
         if self.differ:
@@ -182,7 +185,7 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec_of(data: bytes) -> Codec:
-    """One per vocabulary and worker process; a worker that runs further tasks goes on with the words it has."""
+    """One per vocabulary and worker process, so that the merge table is built once for its tasks."""
     key = hashlib.sha256(data).hexdigest()
     if key not in _codecs:
         _codecs.clear()
@@ -237,6 +240,7 @@ def _encoded(docs: DataFrame, data: bytes, pattern: str, id_col: str, text_col:
 
     def run(batches):
         codec, split = codec_of(shared.value), splitter(pattern)
+        codec.forget()
         for ids, texts in _chunks(batches, split):
             codec.learn(set().union(*texts))
             names, columns = list(types), list(zip(*(row(codec, words) for words in texts)))
@@ -244,6 +248,7 @@ def _encoded(docs: DataFrame, data: bytes, pattern: str, id_col: str, text_col:
             for at in range(0, len(ids), 256):
                 part = [first[at : at + 256], *(pa.array(c[at : at + 256], types[n]) for n, c in zip(names, columns))]
                 yield pa.RecordBatch.from_arrays(part, names=[id_col, *names])
+        codec.forget()  # a worker lives on, for other operators' tasks too
 
     return with_cuts(docs, pattern, text_col, [id_col]).mapInArrow(run, f"`{id_col}` {kind}, {schema}")
 
