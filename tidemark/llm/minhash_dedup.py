@@ -41,7 +41,7 @@ DEVIATIONS = 3.3
 #: Coordinates that later rounds count collisions on: only sets that share a token have them.
 WIDE = 256
 #: Members of a block of a posting list, typical members tried in the first round, pairs tried of two components in the second.
-BLOCK, TYPICAL, BEST = 1024, 2, 4
+BLOCK, TYPICAL, BEST = 1024, 1, 4
 #: Ids that are broadcast to find their rows, at most; beyond, they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -132,7 +132,7 @@ def typical_pairs(matches: int):
             for k in range(COORDINATES):
                 _, place, count = np.unique(sig[:, k], return_inverse=True, return_counts=True)
                 common += count[place]
-        hubs = np.argsort(-common, kind="stable")[: TYPICAL if len(rep) > 2 else 1]
+        hubs = np.argsort(-common, kind="stable")[: TYPICAL]
         h, m = np.nonzero((_equal(sig[hubs], sig) >= matches) & (rep[hubs][:, None] != rep[None]))
         return _pairs(rep, hubs[h], m) if len(h) else None
 
