@@ -154,6 +154,8 @@ def best_pairs(matches: int, most: int | None):
         comp, sig, rep, block = comp[order], _signs(rows, np.uint8)[order], rows["rep"].to_numpy()[order], rows["block"].to_numpy()[order]
         left = np.arange(len(rep)) if i == j else np.flatnonzero(block == i)
         right = left if i == j else np.flatnonzero(block != i)
+        if not len(left) or not len(right):  # of two blocks, one may have no member in this tile
+            return None
         found_a, found_b, found_m = [], [], []
         for at in range(0, len(left), 64):
             part = left[at : at + 64]
