@@ -102,6 +102,21 @@ def test_list_of_any_size_has_no_false_positives(spark):
     assert url_filter.listed_hits(url_filter.with_host_and_path(pages), listed.limit(0)).filter("listed").isEmpty()
 
 
+def test_deep_urls(spark):
+    """Listed parents of hosts of 9 labels and listed directories above 8 others cover, at any depth."""
+    deep = "a.b.c.d.e.f.spam-farm.example.com"
+    urls = [f"https://{deep}/x", "https://a.b.c.d.e.f.g.example.com/x", "https://h.example.com/a/b/c/d/e/f/g/h/page", "https://h.example.com/a/b/c/d/e/f/other/h/page"]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    listed = spark.createDataFrame([(x,) for x in [*url_filter.LISTED, "h.example.com/a/b/c/d/e/f/g/h/"]], "url string")
+    assert {r.url: r.verdict for r in url_filter.judge(pages, listed, rules=(("allow", "none.example", "/"),)).collect()} == dict(zip(urls, ["block", "allow", "block", "allow"], strict=True))
+    # Every level of a host of 9 labels and of a path of 8 directories, one listed at a time.
+    host, path = "a.b.c.d.e.f.g.example.com", "/1/2/3/4/5/6/7/8/page"
+    page = url_filter.with_host_and_path(spark.createDataFrame([(f"https://{host}{path}",)], "url string"))
+    levels = [(h, p) for h in (host.split(".", i)[-1] for i in range(8)) for p in [path, *(path.rsplit("/", i)[0] + "/" for i in range(1, 10))]]
+    found = {r.entry for r in url_filter.expressions(page.withColumn("_row", F.lit(0))).collect()}
+    assert found == {h + p for h, p in levels} and len(found) == 80
+
+
 def test_url_oracle(spark):
     import duckdb
 

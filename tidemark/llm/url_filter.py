@@ -32,8 +32,6 @@ RULES = (
 # The default list's domains, each listed whole ("/" covers all below it).
 LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 LISTED = tuple(f"{name}.example.{top}/" for name in LISTED_NAMES for top in ("com", "net", "org"))
-#: Domain levels and directories of a url that become expressions, counted from the whole host and from the root.
-MAX_LEVELS, MAX_DIRECTORIES = 6, 6
 #: Bits of the filter for each listed entry, and the largest filter that is broadcast (bytes of its words).
 BITS_PER_ENTRY, BROADCAST_BYTES = 16, 64 << 20
 WORDS = 8
@@ -70,25 +68,30 @@ def canonical_path(path: Column) -> Column:
     return F.when(p == "", "/").otherwise(p)
 
 
-def expressions(host: Column, path: Column) -> Column:
-    """Array of the canonical expressions of a url; empty without a host."""
+def host_levels(host: Column) -> Column:
+    """Array of the host and each parent domain of two labels at least; empty without a host."""
     bare = F.regexp_replace(host, r":\d+$|\.$", "")
     labels = F.split(bare, r"\.")
     levels = F.size(labels)
-    # Parent domains of two labels at least.
-    hosts = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(levels - 2, F.lit(MAX_LEVELS - 1)))),
-        lambda i: F.array_join(F.slice(labels, i + 1, levels - i), "."),
-    )
+    hosts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), levels - 2)), lambda i: F.array_join(F.slice(labels, i + 1, levels - i), "."))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(hosts)
+
+
+def path_levels(path: Column) -> Column:
+    """Array of the canonical path and each directory above it."""
     clean = canonical_path(path)
     parts = F.split(clean, "/")
     above = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(parts) - 1, F.lit(MAX_DIRECTORIES)))),
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)),
         lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")),
     )
-    paths = F.array_distinct(F.concat(F.array(clean), above))
-    every = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(every)
+    return F.array_distinct(F.concat(F.array(clean), above))
+
+
+def expressions(rows: DataFrame) -> DataFrame:
+    """rows(_row, host, path) -> (_row, entry), the canonical expressions of each; a row's pairs of levels are never held at once."""
+    hosts = rows.select("_row", F.explode(host_levels(F.col("host"))).alias("host"), "path")
+    return hosts.select("_row", "host", F.explode(path_levels(F.col("path"))).alias("path")).select("_row", F.concat("host", "path").alias("entry"))
 
 
 def canonical_entry(url: Column) -> Column:
@@ -127,7 +130,7 @@ def listed_hits(pages: DataFrame, listed: DataFrame, bits_per_entry: int = BITS_
     small = blocks * (WORDS + 1) * 8 <= BROADCAST_BYTES
     # A row's number comes from its place in the scan, so a task that runs again gives the same.
     rows = pages.withColumn("_row", F.monotonically_increasing_id())
-    tried = rows.select("_row", F.explode(expressions(F.col("host"), F.col("path"))).alias("entry"))
+    tried = expressions(rows.select("_row", "host", "path"))
     tried = tried.withColumn("block", _block(F.col("entry"), blocks))
     possible = tried.join(F.broadcast(filter_table) if small else filter_table, "block")
     possible = possible.filter(reduce(lambda a, b: a & b, (F.col(f"w{i}").bitwiseAND(m) != 0 for i, m in enumerate(_masks(F.col("entry"))))))
