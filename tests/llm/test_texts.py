@@ -169,6 +169,25 @@ def test_pages(spark):
     assert html_extract.extract_pages(df.limit(0), html_extract.fit_weights(df.limit(0))).count() == 0
 
 
+def test_layout_classes_and_formulas():
+    text, side = "<p>" + "word " * 30 + "</p>", "<div class='sidebar'><p>links here</p></div>"
+    kept = " ".join(["word"] * 30)
+    for page in (
+        f"<div class='layout with-sidebar'><div class='content'>{text}</div>{side}</div>",
+        f"<div class='layout hasSidebar'>{text}{side}</div>",
+        f"<div class='content with-sidebar'><article>{text}</article>{side}</div>",
+        f"<div class='content sidebar-left'><article>{text}</article>{side}</div>",
+        f"<div class='page sidebar-left'><div class='content'>{text}</div>{side}</div>",
+        f"<form id='all'><div class='content'>{text}</div><div class='comments'><div class='text'>{text * 3}</div></div></form>",
+    ):
+        assert html_extract.extract(page) == kept
+    # What is boilerplate stays out, with content elements in it too.
+    for inner in ("<div class='sidebar'><div class='content'><p>links here</p></div></div>", "<div class='comments'><div class='text'>" + text * 2 + "</div></div>", f"<aside><div class='content'>{text * 2}</div></aside>"):
+        assert html_extract.extract(f"<body>{text}{inner}</body>") == kept
+    formula = "<article><p>so <math display='inline'><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='tex'>x=2</annotation></semantics></math> holds</p></article>"
+    assert html_extract.extract(formula) == "so x=2 holds"
+
+
 def test_weights_follow_labels(spark):
     pages = ["<body><ul><li>menu item</li></ul><article><p>" + "text " * 50 + "</p></article></body>"] * 20
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")

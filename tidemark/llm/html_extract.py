@@ -28,7 +28,7 @@ FIT_PAGES = 2000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|title)\b[^>]*>.*?(?:</(?P=raw)\b[^>]*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|annotation|object|title)\b[^>]*>.*?(?:</(?P=raw)\b[^>]*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",
@@ -40,7 +40,8 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|dis
 # Elements of HTML by what they do to the flow of text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    "math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 CLOSED_BY_ITSELF = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 BOILERPLATE = frozenset("nav header footer aside form button select menu dialog head canvas audio video datalist fieldset".split())
@@ -52,6 +53,10 @@ MARKED = frozenset(
     "promo promotion recommended related reply replies respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription "
     "toolbar widget widgets alert overlay skip sitemap complementary discussion reviews feedback paywall".split()
 )
+# Words before a mark that tell what a wrapper has around its content, and the marks that name a layout as often.
+STATES = frozenset("with without has no".split())
+WRAPPERS = frozenset("div section article main td".split())
+LAYOUT = frozenset("sidebar sidebars header footer menu menubar nav navbar navigation banner form toolbar masthead".split())
 CONTENT = frozenset("article articlebody body content entry main post story text".split())
 _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -62,11 +67,16 @@ PRIOR = {"p": 1.0, "h1": 0.6, "h2": 0.6, "h3": 0.6, "li": -0.2, "td": -0.2, "div
 TAG_WEIGHT, LINK_WEIGHT, TITLE_BONUS = -0.05, -1.0, 0.5
 
 
-def _marks(attrs: str) -> set[str]:
+def _marks(attrs: str, wrapper: bool = False) -> set[str]:
+    """Words of class, id and role; of a wrapper, without the marks after "with", "has" or "no"."""
     found: set[str] = set()
     for m in _ATTR.finditer(attrs):
         for value in (m[1] or m[2] or m[3] or "").split():
-            found.update(x.lower() for x in _PARTS.findall(value))
+            state = False
+            for x in map(str.lower, _PARTS.findall(value)):
+                if not (state and x in MARKED):
+                    found.add(x)
+                state = state or wrapper and x in STATES
             found.add(value.lower())
     return found
 
@@ -80,12 +90,27 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order: kind, whether boilerplate, whether inside an article, tags since the last one."""
+    """The page's blocks of text in order: kind, whether boilerplate, whether inside an article, tags since the last one.
+
+    A wrapper whose mark may name a layout is no boilerplate if most of the page's text is in content elements inside of it.
+    """
+    found, wrapped = _blocks(page, False)
+    if wrapped:
+        freed = _blocks(page, True)[0]
+        free = sum(b.words for b in found if not b.junk)
+        if sum(b.words for b in freed if not b.junk) > 2 * free:
+            return freed
+    return found
+
+
+def _blocks(page: str, reset: bool) -> tuple[list[Block], bool]:
+    """The blocks, with content elements in layout wrappers taken as such or not, and whether there are any."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, junk, inside
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, junk, inside, whether in junk that is no layout
+    wrapped = False
     held: list[str] = []
     linked = tags = 0
-    junk = inside = False
+    junk = inside = barring = False
     anchors = 0
 
     def flush() -> None:
@@ -94,13 +119,13 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html_lib.unescape("".join(held)).split())
             held.clear()
             if text:
-                kind = next((n for n, _, _ in reversed(stack) if n not in INLINE), "body")
+                kind = next((n for n, *_ in reversed(stack) if n not in INLINE), "body")
                 found.append(Block(text, kind if kind in KINDS else "other", junk, inside, tags, linked))
                 linked = tags = 0
 
     def settle() -> None:
-        nonlocal junk, inside
-        _, junk, inside = stack[-1] if stack else ("", False, False)
+        nonlocal junk, inside, barring
+        _, junk, inside, barring = stack[-1] if stack else ("", False, False, False)
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -113,7 +138,8 @@ def blocks(page: str) -> list[Block]:
         name = m["name"]
         if name is None:
             if m["raw"]:
-                flush()
+                if m["raw"].lower() != "annotation":  # a formula's source, in the middle of its text
+                    flush()
                 tags += 1
             continue
         name = name.lower()
@@ -151,23 +177,31 @@ def blocks(page: str) -> list[Block]:
                 del stack[top - 1 :]
                 settle()
         attrs = m["attrs"]
-        marks = _marks(attrs) if attrs else set()
+        marks = _marks(attrs, name in WRAPPERS) if attrs else set()
         if name in ("html", "body"):
-            stack.append((name, False, False))
+            stack.append((name, False, False, False))
         elif name in ARTICLE or "main" in marks and name in ("div", "section"):
             comment = bool(marks & {"comment", "comments", "reply", "respond"})
             # An article in a form or a wrapper with an unlucky class is still one; one in a menu or an aside is not.
-            barred = any(n in ("nav", "aside", "footer", "dialog") for n, _, _ in stack) or junk and inside
-            stack.append((name, comment or barred, not (comment or barred)))
+            barred = any(n in ("nav", "aside", "footer", "dialog") for n, *_ in stack) or junk and inside
+            stack.append((name, comment or barred, not (comment or barred), comment or barred))
         else:
-            own = name in BOILERPLATE or bool(marks & MARKED) or bool(attrs) and bool(_HIDDEN.search(attrs))
-            stack.append((name, junk or own, inside or bool(marks & CONTENT) and name in ("div", "section", "td")))
+            hidden = bool(attrs) and bool(_HIDDEN.search(attrs))
+            own = name in BOILERPLATE or bool(marks & MARKED) or hidden
+            content = bool(marks & CONTENT) and name in ("div", "section", "td") and not own
+            layout = name in ("div", "section", "td", "form") and not hidden and marks & MARKED <= LAYOUT
+            free = content and junk and not inside and not barring
+            wrapped = wrapped or free
+            if free and reset:
+                stack.append((name, False, True, False))
+            else:
+                stack.append((name, junk or own, inside or content, barring or own and not layout))
         settle()
     tail = page[at:]
     if tail:
         held.append(tail)
     flush()
-    return found
+    return found, wrapped
 
 
 def learned_weights(inside: dict[str, float], outside: dict[str, float]) -> dict[str, float]:
