@@ -195,6 +195,16 @@ def test_weights_follow_labels(spark):
     assert w["p"] > 0 > w["li"]
 
 
+def test_weights_see_rare_labels(spark):
+    """One labelled page among 3,000 counts, whatever the hash of its id."""
+    ids = spark.range(3000)
+    label = ids.filter(F.pmod(F.xxhash64("id"), F.lit(3000).cast("long")) >= 2000).agg(F.min("id")).first()[0]
+    page = "<body><ul><li>menu item</li></ul><article><p>" + "text " * 50 + "</p></article></body>"
+    pages = ids.select(F.col("id").alias("page_id"), F.when(F.col("id") == label, page).otherwise("<p>plain text</p>").alias("html"))
+    alone = spark.createDataFrame([(0, page)], "page_id long, html string")
+    assert html_extract.fit_weights(pages) == html_extract.fit_weights(alone) != html_extract.PRIOR
+
+
 def test_scan_is_the_best_run():
     """The linear scan against all runs."""
     import random

@@ -23,9 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, table
 
-#: Pages that the weights are learned from, at most about: a documented bound of the fit, not of what is extracted.
-FIT_PAGES = 2000
-
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|annotation|object|title)\b[^>]*>.*?(?:</(?P=raw)\b[^>]*>|\Z)"
@@ -235,10 +232,8 @@ def extract(page: str | None, weights: dict[str, float] = PRIOR) -> str:
     return "\n\n".join(b.text for b in chosen if not b.junk and (b.inside or not marked))
 
 
-def fit_weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most: int = FIT_PAGES) -> dict[str, float]:
-    """Weights from about `most` pages, chosen by the hash of their ids, that have an article or main element."""
-    n = pages.count()
-    chosen = pages.filter(F.pmod(F.xxhash64(id_col), F.lit(max(n, 1)).cast("long")) < most).select(html_col)
+def fit_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
+    """Weights from all pages that have an article or main element."""
 
     def count(rows: Iterator[tuple]) -> Iterator[tuple]:
         totals: dict[tuple[str, bool], int] = {}
@@ -251,7 +246,7 @@ def fit_weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_id
         for (kind, good), words in totals.items():
             yield kind, good, words
 
-    rows = map_rows(chosen, "kind string, good boolean, words long", count).groupBy("kind", "good").agg(F.sum("words").alias("words"))
+    rows = map_rows(pages.select(html_col), "kind string, good boolean, words long", count).groupBy("kind", "good").agg(F.sum("words").alias("words"))
     inside: dict[str, float] = {}
     outside: dict[str, float] = {}
     for r in rows.collect():  # two rows for each of KINDS at most
