@@ -281,3 +281,12 @@ def test_reply_trees_choose_the_best_branch(spark):
         paths.setdefault((r.tree, r.branch), []).append((r.depth, r.node))
     paths = {k: [n for _, n in sorted(v)] for k, v in paths.items()}
     assert paths == {("t", 1): [1, 3, 4], ("t", 2): [1, 2, 5], ("u", 1): [1], ("w", 1): [7], ("long", 1): list(range(40))}
+
+
+def test_digest_shows_words_that_decode_to_nothing(monkeypatch):
+    codec = byte_bpe.Codec(byte_bpe.public_vocabulary()[0])
+    merge, decode = codec.merge_words, codec.decode
+    monkeypatch.setattr(codec, "merge_words", lambda raw: (merge(raw)[0], [b"" if r == b" qzxv" else r for r in raw]))
+    monkeypatch.setattr(codec, "decode", lambda ids: [b"" if d == b"the" else d for d in decode(ids)])
+    codec.learn({"the", " qzxv", " cat"})
+    assert codec.decoded(["the", " qzxv", " cat"]) == b" cat"

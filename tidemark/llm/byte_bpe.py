@@ -170,9 +170,9 @@ class Codec:
         self.differ.clear()
 
     def decoded(self, words: list[str]) -> bytes:
-        """What the ids of a text, encoded before, decode to."""
+        """What the ids of a text, encoded before, decode to: each word's own bytes, as learn() has compared, unless differ has others."""
         if self.differ:
-            return b"".join(self.differ.get(w) or w.encode() for w in words)
+            return b"".join(self.differ[w] if w in self.differ else w.encode() for w in words)
         return "".join(words).encode()
 
     def encode(self, words: list[str]) -> list[int]:
