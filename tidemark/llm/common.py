@@ -9,28 +9,40 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space between words: space and U+0009 to U+000D, nothing else.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of an Arrow batch sent to Python, so that a batch of long texts stays small.
-ROWS_PER_BATCH = 512
+#: Rows that a lookup table may have to be broadcast; beyond, it is joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of the Arrow batches that text operators get."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer files and splits than there are cores, dealt to all of them by rows: so at most one split for each core
+    is shuffled. Other scans are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= cores:
+        return df.repartition(cores)
+    return df
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """rows, of a few columns of fixed width, broadcast if they are few by count."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine only, one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -47,16 +59,28 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: The DataFrames that materialize() gave and where they lie, by identity.
+_folders: dict[int, tuple[DataFrame, str]] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df into the shared folder and read it back: cuts lineage and survives the loss of executors.
 
-    The files are removed when the interpreter ends.
+    The files are removed by release(), or when the interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _folders[id(found)] = found, path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables that materialize() gave and that no later plan reads."""
+    for df in tables:
+        _delete(df.sparkSession, _folders.pop(id(df))[1])
 
 
 def map_rows(
@@ -66,7 +90,6 @@ def map_rows(
 
     prepare, if given, is called once a task and its result handed to rows as a second argument.
     """
-    small_batches(df.sparkSession)
     out_schema = _arrow_schema(df.sparkSession, schema)
 
     def run(batches):

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def _flat(hooks: DataFrame) -> DataFrame:
-    """hooks(node, up), up < node: every node with the last node above it."""
-    while True:
+    """hooks(node, up), up < node: every node with the last node above it. Written."""
+    written = None
+    while written is None or not written.filter("moved").isEmpty():
         above = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        hooks = materialize(hooks.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "cc-hooks")
-        if hooks.filter("moved").isEmpty():
-            return hooks.select("node", "up")
-        hooks = hooks.select("node", "up")
+        higher = hooks.select("node", "up").join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
+        higher = materialize(higher, "cc-hooks")
+        if written is not None:
+            release(written)
+        hooks = written = higher
+    return written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,16 +32,20 @@ def components(edges: DataFrame) -> DataFrame:
     while not links.isEmpty():
         hooks = _flat(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))
         if known is None:
-            known = hooks
+            known = materialize(hooks.select("node", "up"), "cc-known")
         else:
             moved = known.join(hooks.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left")
-            known = moved.select("node", F.coalesce("top", "up").alias("up")).unionByName(hooks.join(known.select("node"), "node", "left_anti"))
-        known = materialize(known, "cc-known")
+            moved = moved.select("node", F.coalesce("top", "up").alias("up")).unionByName(hooks.select("node", "up").join(known.select("node"), "node", "left_anti"))
+            moved = materialize(moved, "cc-known")
+            release(known)
+            known = moved
         at = lambda c: hooks.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))  # noqa: B023, E731
-        links = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_up", "a").alias("x"), F.coalesce("b_up", "b").alias("y"))
-        links = materialize(links.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
-    spark = edges.sparkSession
+        left = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_up", "a").alias("x"), F.coalesce("b_up", "b").alias("y"))
+        left = materialize(left.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
+        release(hooks, links)
+        links = left
+    release(links)
     if known is None:
-        return spark.createDataFrame([], "node long, component long")
+        return edges.sparkSession.createDataFrame([], "node long, component long")
     tops = known.select(F.col("up").alias("node")).distinct().join(known.select("node"), "node", "left_anti").withColumn("up", F.col("node"))
     return known.unionByName(tops).select("node", F.col("up").alias("component"))
