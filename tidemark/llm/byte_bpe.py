@@ -3,19 +3,22 @@
 Text is split by the public pattern on the JVM (a text with characters on which its tables could differ from the tokenizer's
 is split in Python instead). Each distinct word of a chunk that the worker hasn't met yet becomes token-position rows; a
 recursive query joins them with the merge table and contracts each word's leftmost minimum-rank pair until no pair is left.
+All occurrences of that pair in a word are contracted in one round where contracting them one by one would give the same: if no
+merge of the contracted token, with whatever neighbour, has a smaller rank. So the rounds of a word are bounded by the number of
+different ranks in it, and only the last state of each row is kept: memory grows with the bytes of a batch, not with rounds.
 Decoding joins ids with the vocabulary and aggregates their bytes in order of position.
 
-Words of more than 63 bytes (rows of the recursion would grow with the square of their length) are merged one by one with a heap,
-which gives the same tokens. Memory is bounded by the chunk and by the number of words kept.
+Words are taken in batches of bounded size by length, a longer word alone; texts in chunks, a longer text in pieces. The words
+of a task are kept up to a bound, and those that came again, up to a smaller one, for the worker's next task.
 
-Defined results: a null text is empty: no tokens and digests of the empty string; repeated rows each get a result.
+Defined results: a null text is empty: no tokens and digests of the empty string; texts and words of any length are encoded whole;
+repeated rows each get a result; columns but the id and the text aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import spread, table
 
 #: Vocabulary and pattern of the query; the operators take them as parameters.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Characters of text encoded together, and words kept during a task, at most.
-CHUNK_CHARS, KEPT_WORDS = 6_000_000, 600_000
-#: Longest word, in bytes, of the recursive query; positions are packed into six bits.
-LONGEST = 63
+#: Characters of text encoded together, words kept during a task and after it, and bytes of words merged by one query, at most.
+CHUNK_CHARS, KEPT_WORDS, RESTING_WORDS, BATCH_BYTES = 4_000_000, 600_000, 300_000, 300_000
+#: What an instance may use. A batch takes about a tenth, a word of a million bytes most of it.
+MEMORY = "768MB"
 #: Ends each word of a text that the JVM has split. Texts that hold it are split in Python.
 _CUT = "\0"
 #: Characters outside the basic plane or unassigned in the JVM's tables.
@@ -38,21 +41,25 @@ _UNSURE = r"[\x00\x{10000}-\x{10FFFF}\p{Cn}]"
 # The White_Space property, which \s means in the tokenizer and not in the JVM.
 _SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
 
-_ENCODE = """
-with recursive step(w, pos, tok, npos, ntok, it) as (
-  select w, pos, tok, npos, ntok, 0 from start
+#: How a pair is contracted: all its occurrences in a word; every second one of a run of them, as those overlap; the first one.
+ALL, EVERY_SECOND, FIRST = 0, 1, 2
+# start(p, w, tok, np): place, word, token and place of the next one. code is 4 * rank + how, so that the smallest code is the
+# smallest rank. A token that has gone into another becomes -1.
+_ENCODE = f"""
+with recursive step(p, w, tok, np) using key (p) as (
+  select p, w, tok, np from start
   union all
-  (with best as (select s.w, min(m.id::bigint * 64 + s.pos) as b
-                 from step s join merges m on s.tok * 65536::bigint + s.ntok = m.pair group by s.w),
-   hit as (select b.w, (b.b % 64)::int as p, (b.b // 64)::int as m, s.npos as n from best b join step s on s.w = b.w and s.pos = b.b % 64),
-   cut as (select h.*, s.npos as nn, s.ntok as nt from hit h join step s on s.w = h.w and s.pos = h.n)
-   select s.w, s.pos, case when s.pos = c.p then c.m else s.tok end,
-          case when s.pos = c.p then c.nn else s.npos end,
-          case when s.pos = c.p then c.nt when s.npos = c.p then c.m else s.ntok end, it + 1
-   from step s join cut c on s.w = c.w where s.pos <> c.n)
-), last as (select w, max(it) as it from step group by w)
-select w, string_agg(tok::varchar, ' ' order by pos) as ids, string_agg(piece, '' order by pos) as text
-from step join last using (w, it) join vocabulary on id = tok group by w order by w
+  (with pairs as (select s.w, s.p, s.np, n.np as after, m.code from step s join step n on n.p = s.np join merges m on m.pair = s.tok * 65536::bigint + n.tok),
+   best as (select w, min(code) as code from pairs group by w),
+   hits as (select h.*, row_number() over (partition by h.w order by h.p) as k from pairs h join best b on h.w = b.w and h.code = b.code),
+   chosen as (
+     select p, np, after, code // 4 as tok from hits where code % 4 = {ALL} or code % 4 = {FIRST} and k = 1
+     union all select p, np, after, code // 4 from (select *, row_number() over (partition by w, p - k * (np - p) order by p) as turn from hits where code % 4 = {EVERY_SECOND}) where turn % 2 = 1),
+   changed as (select p, tok, after as np from chosen union all select np, -1, -1 from chosen)
+   select s.p, s.w, coalesce(c.tok, s.tok), coalesce(c.np, s.np) from step s join best b on s.w = b.w left join changed c on c.p = s.p where s.tok >= 0)
+)
+select w, string_agg(tok::varchar, ' ' order by p) as ids, string_agg(piece, '' order by p) as text
+from step join vocabulary on id = tok where tok >= 0 group by w order by w
 """
 _DECODE = "select w, string_agg(piece, '' order by pos) as text from ids join vocabulary using (id) group by w order by w"
 
@@ -65,7 +72,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Codec:
     """The vocabulary in a DuckDB instance with one thread."""
 
-    def __init__(self, data: bytes, memory: str = "256MB"):
+    def __init__(self, data: bytes, memory: str = MEMORY):
         import duckdb
 
         self.ranks = read_ranks(data)
@@ -73,15 +80,20 @@ class Codec:
         #: The ids of each word that is kept; what they decode to, where that isn't the word's own bytes.
         self.words: dict[str, str] = {}
         self.differ: dict[str, bytes] = {}
+        #: Words that were kept when they came again.
+        self.again: set[str] = set()
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
-        pairs, merged = [], []
+        found = []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
                 left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if left is not None and right is not None:
-                    pairs.append(left * 65536 + right)
-                    merged.append(rank)
-        self._fill("merges", {"pair": pa.array(pairs, pa.int64()), "id": pa.array(merged, pa.int32())})
+                    found.append((left, right, rank))
+        left, right, rank = np.array(found, np.int64).reshape(-1, 3).T
+        # Tokens that a neighbour could take up at a smaller rank than their own: such a merge would come before other occurrences.
+        early = np.union1d(left[rank < left], right[rank < right])
+        how = np.where(np.isin(rank, early), FIRST, np.where(left == right, EVERY_SECOND, ALL))
+        self._fill("merges", {"pair": pa.array(left * 65536 + right), "code": pa.array((4 * rank + how).astype(np.int32))})
         self._fill("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "piece": pa.array([t.hex() for t in self.ranks])})
 
     def _fill(self, name: str, columns: dict) -> None:
@@ -90,46 +102,20 @@ class Codec:
         self.db.unregister("given")
 
     def merge_words(self, words: list[bytes]) -> tuple[list[str], list[bytes]]:
-        """Of words of LONGEST bytes at most: their token ids, written out, and the bytes that these decode to."""
+        """Their token ids, written out, and the bytes that these decode to."""
         if not words:
             return [], []
         lengths = np.array([len(w) for w in words])
         ends = np.cumsum(lengths)
         tok = self.first[np.frombuffer(b"".join(words), np.uint8)]
-        pos = (np.arange(len(tok)) - np.repeat(ends - lengths, lengths)).astype(np.int32)
-        npos, ntok = pos + 1, np.append(tok[1:], np.int32(-1))
-        npos[ends - 1] = ntok[ends - 1] = -1
-        self.db.register("start", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "pos": pos, "tok": tok, "npos": npos, "ntok": ntok}))
+        place = np.arange(len(tok), dtype=np.int32)
+        after = place + 1
+        after[ends - 1] = -1
+        self.db.register("start", pa.table({"p": place, "w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "tok": tok, "np": after}))
         found = self.db.sql(_ENCODE).to_arrow_table()
         self.db.unregister("start")
         return found["ids"].to_pylist(), [bytes.fromhex(x) for x in found["text"].to_pylist()]
 
-    def merge_long(self, word: bytes) -> list[int]:
-        """The same for a word of any length, with a heap of pairs by (rank, position)."""
-        tok = self.first[np.frombuffer(word, np.uint8)].tolist()
-        pieces = [bytes([b]) for b in word]
-        before, after = list(range(-1, len(tok) - 1)), [*range(1, len(tok)), -1]
-        heap: list = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] >= 0 and (rank := self.ranks.get(pieces[i] + pieces[after[i]])) is not None:
-                heapq.heappush(heap, (rank, i, after[i], len(pieces[i]), len(pieces[after[i]])))
-
-        for i in range(len(tok)):
-            offer(i)
-        while heap:
-            rank, i, j, n, m = heapq.heappop(heap)
-            if tok[i] is None or after[i] != j or len(pieces[i]) != n or len(pieces[j]) != m:
-                continue
-            pieces[i] += pieces[j]
-            tok[i], tok[j] = rank, None
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
-        return [t for t in tok if t is not None]
-
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids, by ordered aggregation."""
         w = [i for i, x in enumerate(ids) for _ in x]
@@ -145,29 +131,39 @@ class Codec:
         """Encode and decode the words that aren't kept yet."""
         if len(self.words) > KEPT_WORDS:
             self.forget()
-        known, ranks = self.words, self.ranks
-        short, rest, whole = [], [], []
-        for w in words:
-            if w not in known:
-                raw = w.encode()
-                (rest if raw in ranks or len(raw) > LONGEST else short).append(w)
-        for at in range(0, len(short), 40_000):
-            some = short[at : at + 40_000]
-            raw = [w.encode() for w in some]
-            ids, decoded = self.merge_words(raw)
-            known.update(zip(some, ids))
-            self.differ.update((w, d) for w, r, d in zip(some, raw, decoded) if r != d)
-        for w in rest:
-            raw = w.encode()
-            whole.append([ranks[raw]] if raw in ranks else self.merge_long(raw))
-        for w, x, d in zip(rest, whole, self.decode(whole)):
-            known[w] = " ".join(map(str, x))
-            if d != w.encode():
-                self.differ[w] = d
+        self.again |= words & self.words.keys()
+        new = [(w, w.encode()) for w in words if w not in self.words]
+        whole = [(w, raw) for w, raw in new if raw in self.ranks]
+        for (w, raw), decoded in zip(whole, self.decode([[self.ranks[raw]] for _, raw in whole])):
+            self._keep(w, raw, str(self.ranks[raw]), decoded)
+        parts = sorted(((w, raw) for w, raw in new if raw not in self.ranks), key=lambda x: len(x[1]))
+        at = 0
+        while at < len(parts):
+            end, size = at + 1, len(parts[at][1])
+            while end < len(parts) and size + len(parts[end][1]) <= BATCH_BYTES:
+                size += len(parts[end][1])
+                end += 1
+            some = parts[at:end]
+            for (w, raw), ids, decoded in zip(some, *self.merge_words([raw for _, raw in some])):
+                self._keep(w, raw, ids, decoded)
+            at = end
+
+    def _keep(self, word: str, raw: bytes, ids: str, decoded: bytes) -> None:
+        self.words[word] = ids
+        if decoded != raw:
+            self.differ[word] = decoded
 
     def forget(self) -> None:
         self.words.clear()
         self.differ.clear()
+        self.again.clear()
+
+    def rest(self) -> None:
+        """At the end of a task, as a worker lives on, for other operators' tasks too: only words that came again are kept."""
+        if len(self.again) > RESTING_WORDS:
+            self.forget()
+        self.words = {w: self.words[w] for w in self.again}
+        self.differ = {w: d for w, d in self.differ.items() if w in self.again}
 
     def decoded(self, words: list[str]) -> bytes:
         """What the ids of a text, encoded before, decode to: each word's own bytes, as learn() has compared, unless differ has others."""
@@ -175,11 +171,6 @@ class Codec:
             return b"".join(self.differ[w] if w in self.differ else w.encode() for w in words)
         return "".join(words).encode()
 
-    def encode(self, words: list[str]) -> list[int]:
-        """Ids of a text that is split into words."""
-        self.learn(set(words))
-        return [int(x) for w in words for x in self.words[w].split()]
-
 
 _codecs: dict[str, Codec] = {}
 
@@ -193,70 +184,125 @@ def codec_of(data: bytes) -> Codec:
     return _codecs[key]
 
 
+def _with_spaces(pattern: str) -> str:
+    """The pattern with its white space written out."""
+    return pattern.replace(r"\S", "[^" + _SPACE + "]").replace(r"[^\s", "[^" + _SPACE).replace(r"\s", "[" + _SPACE + "]")
+
+
 def splitter(pattern: str):
-    """Words of a row's text: cut by the JVM, or here."""
+    """Words of a row's text, cut by the JVM or here, in lists of about CHUNK_CHARS characters."""
     import regex
 
-    compiled = regex.compile(pattern.replace(r"\S", "[^" + _SPACE + "]").replace(r"[^\s", "[^" + _SPACE).replace(r"\s", "[" + _SPACE + "]"))
-
-    def split(text: str, cut: bool) -> list[str]:
-        if not cut:
-            return compiled.findall(text)
-        words = text.split(_CUT)
-        words.pop()
-        return words
+    compiled = regex.compile(_with_spaces(pattern))
+
+    def split(text: str, cut: bool) -> Iterator[list[str]]:
+        if len(text) <= CHUNK_CHARS:
+            yield text.split(_CUT)[:-1] if cut else compiled.findall(text)
+        elif cut:
+            at = 0
+            while at < len(text):
+                end = text.find(_CUT, at + CHUNK_CHARS) + 1 or len(text)
+                yield text[at:end].split(_CUT)[:-1]
+                at = end
+        else:
+            words, size = [], 0
+            for m in compiled.finditer(text):
+                words.append(m[0])
+                size += len(m[0])
+                if size >= CHUNK_CHARS:
+                    yield words
+                    words, size = [], 0
+            yield words
 
     return split
 
 
-def with_cuts(docs: DataFrame, pattern: str, text_col: str, keep: list) -> DataFrame:
-    """(keep, text, cut): text has a mark after each word if cut."""
-    java = pattern.replace(r"\S", "[^" + _SPACE + "]").replace(r"[^\s", "[^" + _SPACE).replace(r"\s", "[" + _SPACE + "]")
+def with_cuts(docs: DataFrame, pattern: str, text_col: str, id_col: str) -> DataFrame:
+    """(id, text, cut): text has a mark after each word if cut."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut = ~text.rlike(_UNSURE)
-    return docs.select(*keep, F.when(cut, F.regexp_replace(text, java, "$0" + _CUT)).otherwise(text).alias("_text"), cut.alias("_cut"))
+    return docs.select(F.col(id_col).alias("id"), F.when(cut, F.regexp_replace(text, _with_spaces(pattern), "$0" + _CUT)).otherwise(text).alias("text"), cut.alias("cut"))
+
+
+class Digest:
+    """Number and digests of a text's tokens, from its words in order."""
+
+    FIELDS = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+
+    def __init__(self):
+        self.n, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
 
+    def add(self, codec: Codec, words: list[str]) -> None:
+        if words:
+            ids = " ".join(map(codec.words.__getitem__, words))
+            self.ids.update((" " + ids if self.n else ids).encode())
+            self.text.update(codec.decoded(words))
+            self.n += ids.count(" ") + 1
 
-def _chunks(batches: Iterator[pa.RecordBatch], split) -> Iterator[tuple[list, list]]:
-    """(ids, words of each text) of about CHUNK_CHARS characters."""
-    ids, words, size = [], [], 0
+    def row(self) -> tuple:
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
+
+
+class Ids:
+    """A text's tokens."""
+
+    FIELDS = {"ids": ("array<int>", pa.list_(pa.int32()))}
+
+    def __init__(self):
+        self.ids: list[int] = []
+
+    def add(self, codec: Codec, words: list[str]) -> None:
+        self.ids += [int(x) for w in words for x in codec.words[w].split()]
+
+    def row(self) -> tuple:
+        return (self.ids,)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of about CHUNK_CHARS characters together; a longer text alone."""
+    rows, size = [], 0
     for batch in batches:
-        for i, text, cut in zip(*(c.to_pylist() for c in batch.columns)):
-            ids.append(i)
-            words.append(split(text, cut))
-            size += len(text)
-            if size >= CHUNK_CHARS:
-                yield ids, words
-                ids, words, size = [], [], 0
-    if ids:
-        yield ids, words
-
-
-def _encoded(docs: DataFrame, data: bytes, pattern: str, id_col: str, text_col: str, schema: str, row, types) -> DataFrame:
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(data)  # the vocabulary file: its size is fixed
+        for start in range(0, batch.num_rows, 128):
+            for row in zip(*(c.to_pylist() for c in batch.slice(start, 128).columns)):
+                if rows and size + len(row[1]) > CHUNK_CHARS:
+                    yield rows
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[1])
+    if rows:
+        yield rows
+
+
+def _encoded(docs: DataFrame, data: bytes, pattern: str, id_col: str, text_col: str, what: type) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(data)  # the vocabulary file: its size is fixed
     kind = docs.schema[id_col].dataType.simpleString()
+    names, types = [id_col, *what.FIELDS], [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind], *(t for _, t in what.FIELDS.values())]
 
     def run(batches):
         codec, split = codec_of(shared.value), splitter(pattern)
-        codec.forget()
-        for ids, texts in _chunks(batches, split):
-            codec.learn(set().union(*texts))
-            names, columns = list(types), list(zip(*(row(codec, words) for words in texts)))
-            first = pa.array(ids, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])
-            for at in range(0, len(ids), 256):
-                part = [first[at : at + 256], *(pa.array(c[at : at + 256], types[n]) for n, c in zip(names, columns))]
-                yield pa.RecordBatch.from_arrays(part, names=[id_col, *names])
-        codec.forget()  # a worker lives on, for other operators' tasks too
-
-    return with_cuts(docs, pattern, text_col, [id_col]).mapInArrow(run, f"`{id_col}` {kind}, {schema}")
+        for rows in _chunks(batches):
+            found = []
+            texts = [split(text, cut) for _, text, cut in rows]
+            if len(rows) > 1:  # each is a single list, and all are learned together
+                texts = [list(x) for x in texts]
+                codec.learn(set().union(*(words for lists in texts for words in lists)))
+            for (i, _, _), lists in zip(rows, texts):
+                one = what()
+                for words in lists:
+                    if len(rows) == 1:
+                        codec.learn(set(words))
+                    one.add(codec, words)
+                found.append((i, *one.row()))
+            for at in range(0, len(found), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[at : at + 256]), types)], names=names)
+        codec.rest()
+
+    return with_cuts(docs, pattern, text_col, id_col).mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{n} {t}" for n, (t, _) in what.FIELDS.items())]))
 
 
 def encode_documents(docs: DataFrame, data: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): the tokens of each whole text. data: the rank file."""
-    row = lambda codec, words: ([int(x) for w in words for x in codec.words[w].split()],)
-    return _encoded(docs, data, pattern, id_col, text_col, "ids array<int>", row, {"ids": pa.list_(pa.int32())})
+    return _encoded(docs, data, pattern, id_col, text_col, Ids)
 
 
 def decode_documents(encoded: DataFrame, data: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -277,13 +323,7 @@ def decode_documents(encoded: DataFrame, data: bytes, id_col: str = "doc_id", id
 
 def token_digests(docs: DataFrame, data: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each whole text, encoded and decoded word by word."""
-
-    def row(codec: Codec, words: list[str]) -> tuple[int, str, str]:
-        ids = " ".join(map(codec.words.__getitem__, words))
-        return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(codec.decoded(words)).hexdigest()
-
-    types = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-    return _encoded(docs, data, pattern, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", row, types)
+    return _encoded(docs, data, pattern, id_col, text_col, Digest)
 
 
 def public_vocabulary(name: str = VOCABULARY) -> tuple[bytes, str]:
@@ -295,4 +335,4 @@ def public_vocabulary(name: str = VOCABULARY) -> tuple[bytes, str]:
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return token_digests(table(spark, sf_dir, "documents"), *public_vocabulary())
+    return token_digests(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), *public_vocabulary())
