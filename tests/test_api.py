@@ -220,3 +220,57 @@ def test_store_refuses_the_second_writer(spark, tmp_path):
     with pytest.raises(ConflictError):
         one.namespaces.create("c")
     assert paths(EventLog(spark, store=Store(spark, root))) == {"a", "b"}
+
+
+def files(root):
+    return {p.relative_to(root) for p in root.rglob("*.parquet")}
+
+
+def test_store_appends_what_is_published(spark, tmp_path):
+    """A publish writes the new events, not the log; a sequenced batch neither the queue nor the log."""
+    root = tmp_path / "log"
+    log = EventLog(spark, store=Store(spark, f"file://{root}"), clock=Clock())
+    log.namespaces.create("a")
+    log.topics.create("a", "t", 2)
+    rows = spark.range(500).selectExpr("id as pos", "'a' as path", "'t' as topic", "cast(id as string) as key", "cast(cast(id as string) as binary) as data")
+    log.events.publish_all(rows, ["pos"])
+    before = files(root)
+    log.events.publish("a", "t", "one more", b"x")
+    new = files(root) - before
+    assert {p.parts[1] for p in new} == {"events", "unprocessed_events"}
+    assert sum(spark.read.parquet(str(root / p)).count() for p in new) == 2
+    before = files(root)
+    assert log.events.sequence(100) == 100
+    new = files(root) - before
+    assert {p.parts[1] for p in new} == {"sequences", "partitions"}
+    assert log.state["unprocessed_events"].count() == 401
+    # Another reader sees the same, and goes on from there.
+    other = EventLog(spark, store=Store(spark, f"file://{root}"), clock=Clock())
+    assert (other.state["events"].count(), other.state["unprocessed_events"].count(), other.state["sequences"].count()) == (501, 401, 100)
+    assert other.events.sequence() == 401 and other.state["unprocessed_events"].isEmpty()
+    assert [r.sequence for r in other.state["sequences"].orderBy("sequence").collect()] == list(range(1, 502))
+    assert other.state["sequences"].filter("sequence <> event_id").isEmpty()
+
+
+def test_many_folders_become_one(spark, tmp_path, monkeypatch):
+    from tidemark import state as state_module
+
+    monkeypatch.setattr(state_module, "MOST_PARTS", 2)
+    log = EventLog(spark, store=Store(spark, f"file://{tmp_path}/log"), clock=Clock())
+    log.namespaces.create("a")
+    log.topics.create("a", "t", 1)
+    for i in range(5):
+        log.events.publish("a", "t", "k", str(i))
+        if i == 2:
+            log.events.sequence(2)
+    assert len(log.state.parts["events"]) <= 3
+    assert [bytes(r.data) for r in log.state["events"].orderBy("id").collect()] == [b"0", b"1", b"2", b"3", b"4"]
+    assert sorted(r.id for r in log.state["unprocessed_events"].collect()) == [3, 4, 5]
+
+
+def test_paths_are_stored_as_given(log):
+    log.namespaces.create(" a ")
+    assert paths(log) == {" a "} and log.namespaces.find("a") is None
+    log.namespaces.create("\ta")  # only blanks are no name
+    with pytest.raises(LogError):
+        log.namespaces.create(" a /  ")

@@ -59,8 +59,7 @@ class EventLog:
     def commit(self, state: State) -> None:
         changed = [n for n, df in state.tables.items() if df is not self.state.tables[n]]
         if self.store is not None:
-            self.store.save(state, self.version + 1)
-            self.state, self.version = self.store.load(self.version + 1)
+            self.state, self.version = self.store.save(state, self.version + 1), self.version + 1
         else:
             self.state = state.checkpointed(*changed) if changed else state
 

@@ -7,18 +7,9 @@ from pyspark.sql import functions as F
 
 from ..errors import ConstraintError, LogError, NotFoundError
 from ..functions import DELIMITER, partition_id, path_hash
-from ..state import State
+from ..state import State, written
 from .relops import cascaded, insert, single, without
 
-#: Topics or namespaces that a lookup may broadcast, at most; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def few(df: DataFrame) -> DataFrame:
-    """df, broadcast if it is small by count."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def find_namespace(state: State, path: str) -> DataFrame:
     return state["namespaces"].filter(F.col("path") == path)
 
@@ -30,21 +21,23 @@ def namespace_id(state: State, path: str) -> int | None:
 
 def descendants(closures: DataFrame, roots: DataFrame) -> DataFrame:
     """roots(id) -> (root_id, id, depth), the roots included."""
-    return closures.join(few(roots.select(F.col("id").alias("ancestor_id"))), "ancestor_id").select(F.col("ancestor_id").alias("root_id"), F.col("descendant_id").alias("id"), "depth")
+    return closures.join(roots.select(F.col("id").alias("ancestor_id")), "ancestor_id").select(F.col("ancestor_id").alias("root_id"), F.col("descendant_id").alias("id"), "depth")
 
 
 def ancestors(closures: DataFrame, of: DataFrame) -> DataFrame:
     """of(id) -> (id, ancestor_id, depth)."""
-    return closures.join(few(of.select(F.col("id").alias("descendant_id"))), "descendant_id").select(F.col("descendant_id").alias("id"), "ancestor_id", "depth")
+    return closures.join(of.select(F.col("id").alias("descendant_id")), "descendant_id").select(F.col("descendant_id").alias("id"), "ancestor_id", "depth")
 
 
 def closure_of(namespaces: DataFrame, deepest: int = 1000) -> DataFrame:
-    """The closure table of the parents: self at depth 0, then a level up in each round until none is left."""
+    """The closure table of the parents: self at depth 0, then a level up in each round until none is left. Each level is written,
+    as the next one and the whole read it."""
     level = namespaces.select(F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(0).alias("depth"))
     parents = namespaces.filter("parent_id is not null").select(F.col("id").alias("ancestor_id"), "parent_id")
     found = level
     for _ in range(deepest):
         level = level.join(parents, "ancestor_id").select(F.col("parent_id").alias("ancestor_id"), "descendant_id", (F.col("depth") + 1).alias("depth"))
+        level = written(level, "closure-level")
         if level.isEmpty():
             return found
         found = found.unionByName(level)
@@ -52,11 +45,12 @@ def closure_of(namespaces: DataFrame, deepest: int = 1000) -> DataFrame:
 
 
 def create_namespace(state: State, path: str, as_of: Column) -> tuple[State, int]:
-    path = (path or "").strip()
-    if not path:
+    """Blanks around a path or name don't make it one; the path is stored as given."""
+    path = path or ""
+    if not path.strip(" "):
         raise LogError("a namespace needs a path")
     above, _, name = path.rpartition(DELIMITER)
-    if not name.strip():
+    if not name.strip(" "):
         raise LogError("a namespace needs a name")
     parent = None
     if DELIMITER in path:
@@ -87,7 +81,7 @@ def delete_namespace(state: State, path: str) -> State:
 
 def with_prefix(namespaces: DataFrame, subtree: DataFrame, old: Column, new: Column, as_of: Column) -> DataFrame:
     """namespaces with the path prefix old replaced by new in the subtree (id)."""
-    hit = namespaces.join(few(subtree.select("id").distinct().withColumn("_hit", F.lit(True))), "id", "left")
+    hit = namespaces.join(subtree.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
     path = F.when(F.col("_hit"), F.concat(new, F.substr(F.col("path"), F.char_length(old) + 1))).otherwise(F.col("path"))
     out = hit.withColumn("path", path).withColumn("path_hash", path_hash(F.col("path")))
     return out.withColumn("last_modified_at", F.when(F.col("_hit"), as_of).otherwise(F.col("last_modified_at"))).select(*namespaces.columns)
@@ -112,8 +106,8 @@ def moved_closures(closures: DataFrame, root: int, parent: int | None) -> DataFr
     """Links from outside ancestors into the subtree go; each new ancestor gets one to each node of the subtree."""
     below = closures.filter(F.col("ancestor_id") == root).select(F.col("descendant_id"), F.col("depth").alias("below"))
     inside = below.select("descendant_id")
-    into = closures.join(few(inside), "descendant_id")
-    cut = into.join(few(inside.withColumnRenamed("descendant_id", "ancestor_id")), "ancestor_id", "left_anti")
+    into = closures.join(inside, "descendant_id")
+    cut = into.join(inside.withColumnRenamed("descendant_id", "ancestor_id"), "ancestor_id", "left_anti")
     kept = without(closures, cut, ["ancestor_id", "descendant_id"])
     if parent is None:
         return kept
@@ -129,7 +123,7 @@ def move_namespace(state: State, path: str, parent_path: str | None, as_of: Colu
     if row is None:
         return state
     parent = None
-    if parent_path and parent_path.strip():
+    if parent_path and parent_path.strip(" "):
         parent = namespace_id(state, parent_path)
         if parent is None:
             raise NotFoundError(f"parent namespace {parent_path!r} does not exist")
@@ -183,6 +177,6 @@ def delete_topic(state: State, path: str, name: str, cascade: bool = False) -> S
     """A topic always has partitions, which hold it: refused, unless they go with it."""
     topic = find_topic(state, path, name).select("id")
     if cascade:
-        parts = state["partitions"].join(few(topic.select(F.col("id").alias("topic_id"))), "topic_id", "left_semi")
+        parts = state["partitions"].join(topic.select(F.col("id").alias("topic_id")), "topic_id", "left_semi")
         state = cascaded(state, "partitions", parts.select("id"))
     return cascaded(state, "topics", topic)

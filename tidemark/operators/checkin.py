@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import least, quotient, to_integer
 from ..state import State
 from . import leases, liveness
-from .catalog import few
 
 #: How far above its target a consumer's number of leases may be.
 SLACK = 1.1
@@ -23,7 +22,7 @@ def lease_targets(state: State) -> DataFrame:
     """(consumer_id, subscription_id, target, active_partitions): its share, by weight, of the partitions with work."""
     links = state["subscription_topics"].select("topic_id", "subscription_id", "active_consumers_weight", "active_partitions")
     people = state["consumers"].select(F.col("id").alias("consumer_id"), "subscription_id", "weight")
-    theirs = state["consumer_subscriptions"].select("consumer_id", "topic_id").join(people, "consumer_id").join(few(links), ["topic_id", "subscription_id"])
+    theirs = state["consumer_subscriptions"].select("consumer_id", "topic_id").join(people, "consumer_id").join(links, ["topic_id", "subscription_id"])
     sums = theirs.groupBy("consumer_id", "subscription_id").agg(F.max("active_consumers_weight").alias("w"), F.sum("active_partitions").alias("p"))
     rows = people.join(sums, ["consumer_id", "subscription_id"], "left")
     target = F.coalesce(quotient(F.col("weight"), F.col("w")) * F.col("p"), F.lit(0.0))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import plus_seconds
 from ..state import State
-from .catalog import few
 from .liveness import working_cursors
 from .relops import updated, without
 
@@ -38,7 +37,7 @@ def acquirable(state: State, wanted: DataFrame, pivot: int) -> DataFrame:
     Each consumer takes them from the pivot of random keys on, round to the start, n at most, on this state by itself.
     """
     free = unleased_cursors(state).alias("c")
-    chosen = state["consumer_subscriptions"].join(few(wanted), "consumer_id").select("consumer_id", "subscription_id", "topic_id", "n").distinct()
+    chosen = state["consumer_subscriptions"].join(wanted, "consumer_id").select("consumer_id", "subscription_id", "topic_id", "n").distinct()
     rows = free.join(chosen, ["subscription_id", "topic_id"])
     order = Window.partitionBy("consumer_id", "subscription_id").orderBy(F.col("random_key") < pivot, "random_key", "id")
     return rows.withColumn("turn", F.row_number().over(order).cast("long")).filter("turn <= n").select("consumer_id", *state["cursors"].columns, "turn")
@@ -69,8 +68,8 @@ def excess(state: State, wanted: DataFrame) -> DataFrame:
     """
     positions = state["cursors"].select(F.col("id").alias("cursor_id"), "position")
     marks = state["partitions"].select(F.col("id").alias("partition_id"), "high_watermark")
-    rows = state["leases"].filter("state = 'ACTIVE'").join(few(wanted), ["consumer_id", "subscription_id"])
-    rows = rows.join(positions, "cursor_id").join(few(marks), "partition_id")
+    rows = state["leases"].filter("state = 'ACTIVE'").join(wanted, ["consumer_id", "subscription_id"])
+    rows = rows.join(positions, "cursor_id").join(marks, "partition_id")
     holder = Window.partitionBy("consumer_id", "subscription_id")
     rows = rows.withColumn("_place", F.row_number().over(holder.orderBy(F.col("high_watermark") - F.col("position"), "cursor_id")))
     rows = rows.withColumn("_all", F.count("*").over(holder)).filter(F.col("_place") <= F.ceil(F.col("_all") * F.lit(0.5)))

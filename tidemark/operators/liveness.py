@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..errors import LogError
 from ..functions import greatest, least, plus_seconds, quotient
 from ..state import State
-from .catalog import few
 from .relops import cascaded, insert, updated
 
 METRICS = ["active_consumers", "active_consumers_weight", "active_partitions", "heartbeat_interval"]
@@ -20,7 +19,7 @@ METRICS = ["active_consumers", "active_consumers_weight", "active_partitions", "
 def working_cursors(state: State) -> DataFrame:
     """Cursors with events before their partition's high-watermark."""
     marks = state["partitions"].select(F.col("id").alias("partition_id"), "high_watermark")
-    return state["cursors"].join(few(marks), "partition_id").filter("position < high_watermark").select(*state["cursors"].columns)
+    return state["cursors"].join(marks, "partition_id").filter("position < high_watermark").select(*state["cursors"].columns)
 
 
 def subscription_metrics(state: State, as_of: Column) -> DataFrame:
@@ -73,7 +72,7 @@ def admissions(state: State, arrivals: DataFrame, as_of: Column) -> DataFrame:
     """
     known = state["consumers"].select("id", F.lit(True).alias("known"))
     busy = state["subscription_topics"].groupBy("subscription_id").agg(F.max("active_consumers").alias("busiest"))
-    rows = arrivals.join(known, "id", "left").join(few(busy), "subscription_id", "left").crossJoin(F.broadcast(state["lease_policies"].select("active_consumers_limit")))
+    rows = arrivals.join(known, "id", "left").join(busy, "subscription_id", "left").crossJoin(F.broadcast(state["lease_policies"].select("active_consumers_limit")))
     is_known = F.coalesce("known", F.lit(False))
     accepted = is_known | (F.coalesce("busiest", F.lit(0)) < F.col("active_consumers_limit"))
     return rows.select("id", "subscription_id", "weight", is_known.alias("known"), F.when(accepted, "ACCEPTED").otherwise("REJECTED").alias("status"))

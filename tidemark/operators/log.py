@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..errors import NotFoundError
 from ..functions import greatest, numbered, numbered_in_bulk, partition_id, routed_number
 from ..state import State, written
-from .catalog import few, resolved_topics
-from .relops import updated, without
+from .catalog import resolved_topics
+from .relops import updated
 
 #: The JSON form of a batch of events. A payload that is no string stays JSON text.
 BATCH = "array<struct<path:string,topic:string,key:string,data:string>>"
@@ -17,7 +17,7 @@ BATCH = "array<struct<path:string,topic:string,key:string,data:string>>"
 
 def routed(events: DataFrame, topics: DataFrame) -> DataFrame:
     """events(path, topic, key, ...) with topic_id, partition_number and partition_id; events of unknown topics get nulls."""
-    known = few(topics.select("path", "topic", "topic_id", "partitions"))
+    known = topics.select("path", "topic", "topic_id", "partitions")
     number = routed_number(F.col("key"), F.col("partitions"))
     out = events.join(known, ["path", "topic"], "left").withColumn("partition_number", number)
     return out.withColumn("partition_id", partition_id(F.col("topic_id"), F.col("partition_number"))).drop("partitions")
@@ -39,14 +39,13 @@ def publish(state: State, events: DataFrame, order: list[str]) -> State:
 
 
 def publish_to(state: State, events: DataFrame, order: list[str]) -> State:
-    """Append events(partition_id, data). The partition isn't looked up."""
+    """Append events(partition_id, data). The partition isn't looked up. Payloads are written once to be numbered and once, with the
+    state, to stay."""
     first = state.next_id("events")
     column = order[0] if len(order) == 1 else "_order"
     keyed = events if len(order) == 1 else events.withColumn("_order", F.struct(*order))
-    rows = written(numbered_in_bulk(keyed, column, first, "id").select("id", "partition_id", F.col("data").cast("binary").alias("data")), "published")
-    return state.having(
-        events=state["events"].unionByName(rows.select("id", "data")), unprocessed_events=state["unprocessed_events"].unionByName(rows.select("id", "partition_id"))
-    ).counting(events=first + rows.count())
+    rows = numbered_in_bulk(keyed.select(column, "partition_id", F.col("data").cast("binary").alias("data")), column, first, "id")
+    return state.appending(events=rows.select("id", "data"), unprocessed_events=rows.select("id", "partition_id")).counting(events=first + rows.count())
 
 
 def claimed(queue: DataFrame, batch_size: int | None) -> DataFrame:
@@ -63,7 +62,7 @@ def sequenced(claim: DataFrame, first: int, bounded: bool) -> DataFrame:
 def lifted(partitions: DataFrame, sequences: DataFrame) -> DataFrame:
     """partitions with high-watermarks raised to their largest new sequence; they never fall."""
     top = sequences.groupBy(F.col("partition_id").alias("id")).agg(F.max("sequence").alias("top"))
-    new = partitions.join(few(top), "id").select("id", greatest(F.col("high_watermark"), F.col("top")).alias("high_watermark"))
+    new = partitions.join(top, "id").select("id", greatest(F.col("high_watermark"), F.col("top")).alias("high_watermark"))
     return updated(partitions, new, ["id"], ["high_watermark"])
 
 
@@ -71,16 +70,16 @@ def sequence(state: State, batch_size: int | None = None) -> tuple[State, int]:
     """Give the oldest unsequenced events their place in the log. Returns the new state and how many they were."""
     first = state.next_id("sequences")
     rows = written(sequenced(claimed(state["unprocessed_events"], batch_size), first, batch_size is not None), "sequenced")
-    n = rows.count()
-    queue = without(state["unprocessed_events"], rows.select(F.col("event_id").alias("id")), ["id"])
-    state = state.having(sequences=state["sequences"].unionByName(rows), unprocessed_events=queue, partitions=lifted(state["partitions"], rows))
-    return state.counting(sequences=first + n), n
+    found = rows.agg(F.count("*").alias("n"), F.max("event_id").alias("last")).first()
+    if found.n:  # the oldest events were taken, so the queue goes on after the last of them
+        state = state.past("unprocessed_events", found.last).appending(sequences=rows).having(partitions=lifted(state["partitions"], rows))
+    return state.counting(sequences=first + found.n), found.n
 
 
 def fetch(state: State, cursors: DataFrame, most: int | None = None) -> DataFrame:
     """(cursor_id, sequence, event_id, data) of the events after each cursor's position, at most so many for each."""
     at = cursors.select(F.col("id").alias("cursor_id"), "partition_id", "position")
-    rows = state["sequences"].join(few(at), "partition_id").filter("sequence > position").select("cursor_id", "sequence", "event_id")
+    rows = state["sequences"].join(at, "partition_id").filter("sequence > position").select("cursor_id", "sequence", "event_id")
     if most is not None:
         rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("cursor_id").orderBy("sequence"))).filter(F.col("_rank") <= most).drop("_rank")
     return rows.join(state["events"].select(F.col("id").alias("event_id"), "data"), "event_id").select("cursor_id", "sequence", "event_id", "data")
@@ -90,5 +89,5 @@ def lag(state: State) -> DataFrame:
     """(cursor_id, consumer_id, lag) of each lease: how many sequence numbers its cursor is behind."""
     positions = state["cursors"].select(F.col("id").alias("cursor_id"), "position")
     marks = state["partitions"].select(F.col("id").alias("partition_id"), "high_watermark")
-    rows = state["leases"].join(positions, "cursor_id").join(few(marks), "partition_id")
+    rows = state["leases"].join(positions, "cursor_id").join(marks, "partition_id")
     return rows.select("cursor_id", "consumer_id", (F.col("high_watermark") - F.col("position")).alias("lag"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import NotFoundError
 from ..functions import numbered, random_key
 from ..state import State
-from .catalog import few, find_topic
+from .catalog import find_topic
 from .relops import cascaded, insert, single, updated, without
 
 
@@ -57,13 +57,13 @@ def unsubscribe(state: State, subscription: str, path: str, topic: str) -> State
 def commit(state: State, commits: DataFrame) -> State:
     """commits(id, position): cursors move forward to the largest position committed, never back."""
     top = commits.groupBy("id").agg(F.max("position").alias("new"))
-    ahead = state["cursors"].join(few(top), "id").filter("position < new").select("id", F.col("new").alias("position"))
+    ahead = state["cursors"].join(top, "id").filter("position < new").select("id", F.col("new").alias("position"))
     return state.having(cursors=updated(state["cursors"], ahead, ["id"], ["position"]))
 
 
 def chosen_links(state: State, consumers: DataFrame, topics: DataFrame) -> DataFrame:
     """consumers(id, subscription_id), topics(topic_id) -> consumer_subscriptions rows of the links they have."""
-    links = state["subscription_topics"].join(few(topics.select("topic_id").distinct()), "topic_id").select(F.col("id").alias("subscription_topic_id"), "subscription_id", "topic_id")
+    links = state["subscription_topics"].join(topics.select("topic_id").distinct(), "topic_id").select(F.col("id").alias("subscription_topic_id"), "subscription_id", "topic_id")
     return links.join(consumers.select(F.col("id").alias("consumer_id"), "subscription_id"), "subscription_id").select("consumer_id", "subscription_topic_id", "topic_id")
 
 
