@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.fixtures import AS_OF, CONSUMERS, PARTITIONS, SEQUENCED
+from ..sources.fixtures import AS_OF, PARTITIONS, SEQUENCED
 from .queries import BATCH_SIZE, PIVOT
 
 _NOW = f"timestamp '{AS_OF}'"
@@ -40,7 +40,7 @@ unprocessed as (select id, partition_id from numbered, split where sequence > n)
 partitions as (
   select (t.id << 16) + k.n as id, t.id as topic_id, k.n::int as partition_number, coalesce(h.top, 0)::bigint as high_watermark
   from topics t cross join (select range as n from range({PARTITIONS})) k left join (select partition_id, max(sequence) as top from sequences group by 1) h on h.partition_id = (t.id << 16) + k.n),
-subscriptions as (select dense_rank() over (order by c_mktsegment)::bigint as id, c_mktsegment as name from (select distinct c_mktsegment from customer)),
+subscriptions as (select dense_rank() over (order by name)::bigint as id, name from (select distinct c_mktsegment || '-' || c_nationkey as name from customer)),
 links as (
   select row_number() over (order by s.id, t.id)::bigint as id, s.id as subscription_id, t.id as topic_id from subscriptions s, topics t where (s.id + t.id) % 2 = 0),
 cursors0 as (
@@ -52,7 +52,7 @@ cursors as (
 consumers as (
   select 'c-' || c_custkey as id, s.id as subscription_id, (1 + c_nationkey % 3)::double as weight, {_NOW} - to_seconds(c_custkey % 20) as heartbeat_detected_at, 3.0::double as heartbeat_interval,
          {_NOW} - to_seconds(c_custkey % 20) + to_seconds(case when c_custkey % 7 = 0 then -1 else 15 end) as heartbeat_deadline
-  from customer join subscriptions s on s.name = c_mktsegment where c_custkey < {CONSUMERS}),
+  from customer join subscriptions s on s.name = c_mktsegment || '-' || c_nationkey),
 choices as (select c.id as consumer_id, l.id as subscription_topic_id, l.topic_id from consumers c join links l on c.subscription_id = l.subscription_id),
 holders as (select id, subscription_id, row_number() over (partition by subscription_id order by id) - 1 as place, count(*) over (partition by subscription_id) as people from consumers),
 leases as (
@@ -128,9 +128,17 @@ _SELECTS = {
     "partition_high_watermark": f"""select p.id, p.topic_id, p.partition_number, greatest(p.high_watermark, coalesce(h.top, 0))::bigint as high_watermark from partitions p
       left join (select partition_id, max(sequence) as top from numbered, split where sequence <= n + {BATCH_SIZE} group by 1) h on h.partition_id = p.id""",
     "fetch_after_position": """select c.id as cursor_id, s.sequence, s.event_id, n.props as data from cursors c join sequences s on s.partition_id = c.partition_id and s.sequence > c.position
-      join numbered n on n.id = s.event_id where c.position > 0 qualify row_number() over (partition by c.id order by s.sequence) <= 10""",
+      join numbered n on n.id = s.event_id qualify row_number() over (partition by c.id order by s.sequence) <= 10""",
     "consumer_lag": "select l.cursor_id, l.consumer_id, p.high_watermark - c.position as lag from leases l join cursors c on c.id = l.cursor_id join partitions p on p.id = l.partition_id",
     "stream_sequence_watermark": "select partition_id, max(sequence) as last_sequence from numbered group by 1",
+    "stream_refused": "select 'unknown' as topic, 1::bigint as n",
+    "stream_fetch": """select c.id as cursor_id, count(*) as n, min(s.sequence) as first_sequence, max(s.sequence) as last_sequence, sum(octet_length(encode(s.props)))::bigint as bytes
+      from cursors c join numbered s on s.partition_id = c.partition_id and s.sequence > c.position group by 1""",
+    "publish_to_partition": """select id, partition_id from unprocessed
+      union all select (select max(id) from routed) + row_number() over (order by id), partition_id from routed""",
+    "publish_then_sequence": f"""select 'events' as table_name, 2 * count(*) as n, max(id) + count(*) as last_id from routed
+      union all select 'unprocessed_events', (select count(*) from unprocessed) + count(*) - {BATCH_SIZE}, max(id) + count(*) from routed
+      union all select 'sequences', n + {BATCH_SIZE}, n + {BATCH_SIZE} from split""",
     "unleased_cursors": f"select {_CURSORS} from unleased",
     "unleased_cursors_documented": f"""select c.* from working c left join leases l on c.id = l.cursor_id left join consumers w on l.consumer_id = w.id
       where l.cursor_id is null or {_NOW} >= w.heartbeat_deadline""",
@@ -168,9 +176,24 @@ _SELECTS = {
         union all select t.id, t.consumer_id, coalesce(k.version, 0) + 1, 'ACTIVE' from takes t left join kept k on k.cursor_id = t.id)
       select cursor_id, consumer_id, version, case when cursor_id in (select cursor_id from gone) then 'RELEASING' else state end as state from after""",
     "check_in_all": """select d.consumer_id, 'ACCEPTED' as status, t.heartbeat_interval, t.heartbeat_deadline, d.decision, d.n from decisions d join deadlines t on t.id = d.consumer_id""",
+    "check_in_one": f"""with me as (select subscription_id from consumers where id = 'c-1'),
+      weighed as (select c.subscription_topic_id, sum(case when w.id = 'c-1' then 1.0 else w.weight end) as w from choices c join live w on w.id = c.consumer_id group by 1),
+      share as (select coalesce(1.0 / nullif(max(coalesce(g.w, 0)), 0) * sum(m.active_partitions), 0)::double as target, coalesce(sum(m.active_partitions), 0) as p
+        from choices c join metrics m on m.id = c.subscription_topic_id left join weighed g on g.subscription_topic_id = m.id where c.consumer_id = 'c-1'),
+      held as (select count(*) as n from kept where consumer_id = 'c-1' and state = 'ACTIVE'),
+      plan as (select case when h.n > least(ceil(s.target * 1.1::double), s.p) then h.n - least(ceil(s.target * 1.1::double), s.p) else 0 end as gone,
+                      case when h.n > least(ceil(s.target * 1.1::double), s.p) then 0 when h.n < s.target then round_even(s.target - h.n, 0) else 0 end as wanted from share s, held h),
+      free as (select c.* from working c left join kept l on c.id = l.cursor_id left join live w on l.consumer_id = w.id
+        where c.subscription_id = (select subscription_id from me) and (l.cursor_id is null or w.heartbeat_detected_at < w.heartbeat_deadline)),
+      taken as (select id from (select f.id, row_number() over (order by f.random_key < {PIVOT}, f.random_key, f.id) as turn from free f join choices c on c.consumer_id = 'c-1' and c.topic_id = f.topic_id), plan where turn <= wanted),
+      half as (select l.cursor_id, l.acquired_at, row_number() over (order by p.high_watermark - c.position, l.cursor_id) as place, count(*) over () as n
+        from kept l join cursors c on c.id = l.cursor_id join partitions p on p.id = l.partition_id where l.state = 'ACTIVE' and l.consumer_id = 'c-1'),
+      dropped as (select cursor_id from (select *, row_number() over (order by acquired_at desc, cursor_id) as turn from half where place <= ceil(n * 0.5)), plan where turn <= gone)
+      select id, 'c-1' as consumer_id, id as lease_id from (
+        select cursor_id as id from kept where consumer_id = 'c-1' and state = 'ACTIVE' and cursor_id not in (select cursor_id from dropped) union select id from taken)""",
     "namespace_closure": "select ancestor_id, descendant_id, depth from closures",
     "namespace_descendants": "select ancestor_id as root_id, descendant_id as id, depth from closures where ancestor_id in (select id from namespaces where parent_id is null)",
-    "namespace_ancestors": "select descendant_id as id, ancestor_id, depth from closures where descendant_id % 2 = 0",
+    "namespace_ancestors": "select descendant_id as id, ancestor_id, depth from closures",
     "namespace_rename": """select n.id, n.parent_id, case when n.id = o.id then 'renamed' else n.name end as name, p.path, upper(md5(p.path)) as path_hash from namespaces n cross join nation0 o
       cross join lateral (select case when n.id in (select id from below0) then (select path from namespaces where id = o.parent_id) || '/renamed' || substr(n.path, length(o.path) + 1) else n.path end as path) p""",
     "namespace_move_paths": """select n.id, case when n.id = o.id then r.id else n.parent_id end as parent_id, n.name,
@@ -180,14 +203,19 @@ _SELECTS = {
     "namespace_delete_survivors": "select id, path from namespaces where id not in (select id from below0)",
     "namespace_create": """select ancestor_id, descendant_id, depth from closures union all select m.id, m.id, 0 from (select max(id) + 1 as id from namespaces) m
       union all select c.ancestor_id, m.id, c.depth + 1 from closures c, (select max(id) + 1 as id from namespaces) m where c.descendant_id = (select id from nation0)""",
+    "namespace_create_as_given": """select id, name, path, upper(md5(path)) as path_hash from namespaces
+      union all select max(id) + 1, ' added ', ' added ', upper(md5(' added ')) from namespaces""",
+    "constraint_outcomes": """select * from (values ('namespace_again', 'ConstraintError'), ('namespace_below_nothing', 'NotFoundError'), ('namespace_blank', 'LogError'),
+      ('namespace_with_topic_deleted', 'ConstraintError'), ('topic_again', 'ConstraintError'), ('topic_with_partitions_deleted', 'ConstraintError'), ('subscription_again', 'ConstraintError'),
+      ('subscription_with_consumers_deleted', 'ConstraintError'), ('consumer_of_nothing', 'ConstraintError'), ('lease_in_no_state', 'ConstraintError'), ('namespace_moved_below_itself', 'LogError'),
+      ('namespace_added', 'done')) t(attempt, outcome)""",
     "namespace_lookup": "select id, path, upper(md5(path)) as path_hash from namespaces",
     "path_parse": "select path, split_part(path, '/', -1) as name, case when contains(path, '/') then left(path, length(path) - length(split_part(path, '/', -1)) - 1) end as parent from namespaces",
     "topic_partitions_generate": "select id, topic_id, partition_number, 0::bigint as high_watermark from partitions",
     "topic_create": """select id, topic_id, partition_number from partitions union all select (m.id << 16) + n, m.id, n::int from (select max(id) + 1 as id from topics) m, (select range as n from range(3))""",
     "topic_delete": "select id, topic_id from cursors where topic_id <> (select min(id) from topics)",
     "topic_lookup": "select n.path, t.name as topic, t.id as topic_id, t.partitions from topics t join namespaces n on n.id = t.namespace_id",
-    "partition_lookup": """select n.path, t.name as topic, p.partition_number, p.id, p.high_watermark from partitions p join topics t on t.id = p.topic_id join namespaces n on n.id = t.namespace_id
-      where p.partition_number % 2 = 1""",
+    "partition_lookup": """select n.path, t.name as topic, p.partition_number, p.id, p.high_watermark from partitions p join topics t on t.id = p.topic_id join namespaces n on n.id = t.namespace_id""",
     "subscribe_cursors": f"select {_CURSORS.replace('position', '0::bigint as position')} from cursors",
     "unsubscribe_cascade": """select 'subscription_topics' as table_name, count(*) as left_rows from links where id <> (select id from link0)
       union all select 'cursors', count(*) from cursors where subscription_topic_id <> (select id from link0)
@@ -196,6 +224,14 @@ _SELECTS = {
     "subscription_topic_lookup": "select l.id, s.name as subscription, t.name as topic, 15.0::double as heartbeat_interval from links l join subscriptions s on s.id = l.subscription_id join topics t on t.id = l.topic_id",
     "consumer_topic_subscribe": "select consumer_id, subscription_topic_id, topic_id from choices",
     "consumer_topic_unsubscribe": "select consumer_id, subscription_topic_id, topic_id from choices where not (consumer_id = 'c-1' and topic_id = (select topic_id from link0))",
+    "subscription_create": "select id, name from subscriptions union all select max(id) + 1, 'added' from subscriptions",
+    "subscription_delete_cascade": """select 'subscriptions' as table_name, count(*) as left_rows from subscriptions where id <> 1
+      union all select 'subscription_topics', count(*) from links where subscription_id <> 1
+      union all select 'cursors', count(*) from cursors where subscription_id <> 1
+      union all select 'leases', count(*) from leases where subscription_id <> 1""",
+    "consumer_shutdown": """select 'consumers' as table_name, count(*) as left_rows from consumers where id <> 'c-1'
+      union all select 'consumer_subscriptions', count(*) from choices where consumer_id <> 'c-1'
+      union all select 'leases', count(*) from leases where consumer_id <> 'c-1'""",
     "consumer_delete_cascade": "select cursor_id, consumer_id from leases where consumer_id <> 'c-1'",
     "subscriptions_page": "select id, name from subscriptions order by id limit 3 offset 1",
     "consumers_page": "select id, subscription_id, weight from consumers order by id limit 10 offset 10",

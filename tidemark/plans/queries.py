@@ -7,11 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import LogError
 from ..functions import name_of, parent_of, path_hash
 from ..operators import catalog, checkin, leases, liveness, log, policies, subscriptions
+from ..operators.relops import insert
+from ..schemas import TABLES
 from ..sources.fixtures import as_of, keyed_events, state_of
 from ..state import shared_folder
-from ..streaming.sequencer import Sequencer, sequence_stream, watermark_stream
+from ..streaming.sequencer import Sequencer, fetch_stream, read_sequences, sequence_stream, watermark_stream, watermarks
 
 #: Fixed values of the queries: the pivot of random keys and the size of a sequenced batch.
 PIVOT, BATCH_SIZE = 0, 100
@@ -81,7 +84,7 @@ def partition_high_watermark(spark, sf_dir):
 @query
 def fetch_after_position(spark, sf_dir):
     s = state_of(spark, sf_dir)
-    return log.fetch(s, s["cursors"].filter("position > 0"), most=10).select("cursor_id", "sequence", "event_id", F.col("data").cast("string").alias("data"))
+    return log.fetch(s, s["cursors"], most=10).select("cursor_id", "sequence", "event_id", F.col("data").cast("string").alias("data"))
 
 
 @query
@@ -89,22 +92,61 @@ def consumer_lag(spark, sf_dir):
     return log.lag(state_of(spark, sf_dir))
 
 
-@query
-def stream_sequence_watermark(spark, sf_dir):
-    s = state_of(spark, sf_dir)
+def _streamed(spark, sf_dir) -> tuple[str, Sequencer]:
+    """The driver's events, sequenced as a stream of two micro-batches, and one event of an unknown topic."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{root}/source"
     events = keyed_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
     half = events.agg(F.floor(F.max("id") / 2)).first()[0] or 0
-    for part in (events.filter(F.col("id") <= half), events.filter(F.col("id") > half)):  # files come in the order of their times
+    stray = events.limit(1).withColumn("topic", F.lit("unknown"))
+    for part in (events.filter(F.col("id") <= half).unionByName(stray), events.filter(F.col("id") > half)):  # files come in the order of their times
         part.repartitionByRange(2, "id").write.mode("append").parquet(source)
-    sequencer = Sequencer(spark, root, _topics(s))
+    sequencer = Sequencer(spark, root, _topics(state_of(spark, sf_dir)))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
     sequence_stream(stream, sequencer, f"{root}/checkpoint").awaitTermination()
-    name = f"watermarks_{uuid.uuid4().hex}"
-    tops = spark.readStream.schema("sequence long, partition_id long, event_id long, batch long").parquet(f"{root}/sequences")
-    watermark_stream(tops, name, f"{root}/checkpoint-tops").awaitTermination()
-    return spark.table(name).select(F.col("partition_id"), F.col("high_watermark").alias("last_sequence"))
+    return root, sequencer
+
+
+@query
+def stream_sequence_watermark(spark, sf_dir):
+    root, _ = _streamed(spark, sf_dir)
+    watermark_stream(read_sequences(spark, root), f"{root}/tops", f"{root}/checkpoint-tops").awaitTermination()
+    return watermarks(spark, f"{root}/tops").select("partition_id", F.col("high_watermark").alias("last_sequence"))
+
+
+@query
+def stream_refused(spark, sf_dir):
+    _, sequencer = _streamed(spark, sf_dir)
+    return sequencer.refused("id long, path string, topic string, key string, data string").groupBy("topic").agg(F.count("*").alias("n"))
+
+
+@query
+def stream_fetch(spark, sf_dir):
+    """Every cursor follows the stream from its position on."""
+    s = state_of(spark, sf_dir)
+    root, _ = _streamed(spark, sf_dir)
+    fetch_stream(read_sequences(spark, root), s["cursors"], s["events"], f"{root}/fetched", f"{root}/checkpoint-fetched").awaitTermination()
+    rows = spark.read.schema("cursor_id long, sequence long, event_id long, data binary, batch long").parquet(f"{root}/fetched")
+    return rows.groupBy("cursor_id").agg(F.count("*").alias("n"), F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"), F.sum(F.length("data")).alias("bytes"))
+
+
+@query
+def publish_to_partition(spark, sf_dir):
+    """Events that name their partition are appended without a look at it."""
+    s = state_of(spark, sf_dir)
+    events = log.routed(keyed_events(spark.read.parquet(f"{sf_dir}/events.parquet")), _topics(s)).select("id", "partition_id", "data")
+    return log.publish_to(s, events, ["id"])["unprocessed_events"].select("id", "partition_id")
+
+
+@query
+def publish_then_sequence(spark, sf_dir):
+    """All events once more by path, topic and key, then one batch sequenced: the log's sizes and positions after both."""
+    s = state_of(spark, sf_dir)
+    names = catalog.resolved_topics(s).select(F.col("path").alias("home"), F.col("topic"))
+    events = keyed_events(spark.read.parquet(f"{sf_dir}/events.parquet")).join(names, "topic").select("id", F.col("home").alias("path"), "topic", "key", "data")
+    after, n = log.sequence(log.publish(s, events, ["id"]).checkpointed("events", "unprocessed_events"), BATCH_SIZE)
+    count = lambda t: after[t].agg(F.lit(t).alias("table_name"), F.count("*").alias("n"), F.max(TABLES[t].key[0]).alias("last_id"))
+    return count("events").unionByName(count("unprocessed_events")).unionByName(count("sequences"))
 
 
 # --- cursors and leases
@@ -251,7 +293,7 @@ def namespace_descendants(spark, sf_dir):
 @query
 def namespace_ancestors(spark, sf_dir):
     s = state_of(spark, sf_dir)
-    return catalog.ancestors(s["namespace_closures"], s["namespaces"].filter("id % 2 = 0").select("id"))
+    return catalog.ancestors(s["namespace_closures"], s["namespaces"].select("id"))
 
 
 def _first_paths(s) -> tuple[str, str]:
@@ -292,6 +334,47 @@ def namespace_create(spark, sf_dir):
     return catalog.create_namespace(s, f"{path}/added", as_of())[0]["namespace_closures"]
 
 
+@query
+def namespace_create_as_given(spark, sf_dir):
+    """Blanks around a name are part of it."""
+    s = catalog.create_namespace(state_of(spark, sf_dir), " added ", as_of())[0]
+    return s["namespaces"].select("id", "name", "path", _hex("path_hash"))
+
+
+@query
+def constraint_outcomes(spark, sf_dir):
+    """What the constraints refuse, each tried on the same state: duplicates, rows that are held, references to nothing, bad values."""
+    s = state_of(spark, sf_dir)
+    path, _ = _first_paths(s)
+    top = s["topics"].orderBy("id").first()
+    home = s["namespaces"].filter(F.col("id") == top.namespace_id).first().path
+    name = s["subscriptions"].orderBy("id").first().name
+    row = lambda **v: spark.range(1).select(*(F.lit(x).alias(c) for c, x in v.items()))
+    tries = {
+        "namespace_again": lambda: catalog.create_namespace(s, path, as_of()),
+        "namespace_below_nothing": lambda: catalog.create_namespace(s, "nowhere/x", as_of()),
+        "namespace_blank": lambda: catalog.create_namespace(s, "  ", as_of()),
+        "namespace_with_topic_deleted": lambda: catalog.delete_namespace(s, home),
+        "topic_again": lambda: catalog.create_topic(s, home, top.name, 1, as_of()),
+        "topic_with_partitions_deleted": lambda: catalog.delete_topic(s, home, top.name),
+        "subscription_again": lambda: subscriptions.create_subscription(s, name, as_of()),
+        "subscription_with_consumers_deleted": lambda: subscriptions.delete_subscription(s, name),
+        "consumer_of_nothing": lambda: insert(s, "consumers", row(id="x", subscription_id=-1, weight=1.0, heartbeat_interval=1.0), as_of()),
+        "lease_in_no_state": lambda: insert(s, "leases", s["leases"].limit(1).withColumn("state", F.lit("LOST"))),
+        "namespace_moved_below_itself": lambda: catalog.move_namespace(s, path, path, as_of()),
+        "namespace_added": lambda: catalog.create_namespace(s, f"{path}/added", as_of()),
+    }
+
+    def outcome(attempt) -> str:
+        try:
+            attempt()
+        except LogError as error:
+            return type(error).__name__
+        return "done"
+
+    return spark.createDataFrame([(n, outcome(f)) for n, f in tries.items()], "attempt string, outcome string")
+
+
 @query
 def namespace_lookup(spark, sf_dir):
     s = state_of(spark, sf_dir)["namespaces"]
@@ -331,7 +414,7 @@ def topic_lookup(spark, sf_dir):
 @query
 def partition_lookup(spark, sf_dir):
     s = state_of(spark, sf_dir)
-    return s["partitions"].join(F.broadcast(catalog.resolved_topics(s)), "topic_id").filter("partition_number % 2 = 1").select("path", "topic", "partition_number", "id", "high_watermark")
+    return s["partitions"].join(catalog.resolved_topics(s), "topic_id").select("path", "topic", "partition_number", "id", "high_watermark")
 
 
 # --- subscriptions and consumers
@@ -363,7 +446,7 @@ def subscription_topic_lookup(spark, sf_dir):
     s = state_of(spark, sf_dir)
     names = s["subscriptions"].select(F.col("id").alias("subscription_id"), F.col("name").alias("subscription"))
     topics = s["topics"].select(F.col("id").alias("topic_id"), F.col("name").alias("topic"))
-    return s["subscription_topics"].join(catalog.few(names), "subscription_id").join(catalog.few(topics), "topic_id").select("id", "subscription", "topic", "heartbeat_interval")
+    return s["subscription_topics"].join(names, "subscription_id").join(topics, "topic_id").select("id", "subscription", "topic", "heartbeat_interval")
 
 
 @query
@@ -379,6 +462,29 @@ def consumer_topic_unsubscribe(spark, sf_dir):
     return subscriptions.consumer_unsubscribe(s, "c-1", path, topic)["consumer_subscriptions"]
 
 
+@query
+def subscription_create(spark, sf_dir):
+    return subscriptions.create_subscription(state_of(spark, sf_dir), "added", as_of())[0]["subscriptions"].select("id", "name")
+
+
+@query
+def subscription_delete_cascade(spark, sf_dir):
+    """A subscription whose consumers have gone takes its topics, cursors and leases with it."""
+    s = state_of(spark, sf_dir)
+    first = s["subscriptions"].orderBy("id").first()
+    s = s.having(consumers=s["consumers"].filter(F.col("subscription_id") != first.id))
+    after = subscriptions.delete_subscription(s, first.name)
+    rows = [after[t].agg(F.lit(t).alias("table_name"), F.count("*").alias("left_rows")) for t in ("subscriptions", "subscription_topics", "cursors", "leases")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+@query
+def consumer_shutdown(spark, sf_dir):
+    after = liveness.shut_down_consumer(state_of(spark, sf_dir), "c-1")
+    rows = [after[t].agg(F.lit(t).alias("table_name"), F.count("*").alias("left_rows")) for t in ("consumers", "consumer_subscriptions", "leases")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query
 def consumer_delete_cascade(spark, sf_dir):
     after = liveness.delete_consumer(state_of(spark, sf_dir), "c-1")

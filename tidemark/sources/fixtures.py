@@ -15,8 +15,8 @@ from ..operators.subscriptions import chosen_links
 from ..state import State, bootstrap, written
 
 AS_OF = "2024-01-31 00:00:00"
-#: Partitions of a topic, customers that are consumers, and the part of all events that is sequenced.
-PARTITIONS, CONSUMERS, SEQUENCED = 16, 40, (9, 10)
+#: Partitions of a topic, and the part of all events that is sequenced.
+PARTITIONS, SEQUENCED = 16, (9, 10)
 
 
 def as_of() -> Column:
@@ -52,7 +52,8 @@ def keyed_events(events: DataFrame) -> DataFrame:
 
 def derived(spark: SparkSession, sf_dir: str) -> State:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    events, customer = read("events"), read("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    # Every customer is a consumer; those of one market segment and nation share a subscription.
+    events, customer = read("events"), read("customer").select("c_custkey", "c_nationkey", F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("market"))
     state = bootstrap(spark)
     state = state.having(namespaces=written(namespaces(read("region"), read("nation"), read("supplier")), "namespaces"))
     state = state.having(namespace_closures=closure_of(state["namespaces"]))
@@ -69,9 +70,9 @@ def derived(spark: SparkSession, sf_dir: str) -> State:
         unprocessed_events=placed.filter(F.col("sequence") > n).select("id", "partition_id"),
     )
     state = state.having(partitions=written(lifted(generated_partitions(state["topics"]), state["sequences"]), "partitions"))
-    segments = _ranked(customer, "c_mktsegment")
-    state = state.having(subscriptions=written(segments.select("id", "name", as_of().alias("last_modified_at")), "subscriptions"))
-    links = segments.select(F.col("id").alias("subscription_id")).crossJoin(F.broadcast(state["topics"].select(F.col("id").alias("topic_id")))).filter((F.col("subscription_id") + F.col("topic_id")) % 2 == 0)
+    markets = _ranked(customer, "market")
+    state = state.having(subscriptions=written(markets.select("id", "name", as_of().alias("last_modified_at")), "subscriptions"))
+    links = markets.select(F.col("id").alias("subscription_id")).crossJoin(F.broadcast(state["topics"].select(F.col("id").alias("topic_id")))).filter((F.col("subscription_id") + F.col("topic_id")) % 2 == 0)
     links = links.withColumn("id", F.row_number().over(Window.orderBy("subscription_id", "topic_id")).cast("long"))
     links = links.select("id", "subscription_id", "topic_id", F.lit(15.0).alias("heartbeat_interval"), F.lit(0).alias("active_partitions"), F.lit(0).alias("active_consumers"), F.lit(0.0).alias("active_consumers_weight"), as_of().alias("created_at"), as_of().alias("last_modified_at"))
     state = state.having(subscription_topics=written(links, "links"))
@@ -83,7 +84,7 @@ def derived(spark: SparkSession, sf_dir: str) -> State:
     state = state.having(cursors=written(cursors, "cursors"))
     key = F.col("c_custkey")
     seen = _ago(key % 20)
-    people = customer.filter(key < CONSUMERS).join(segments.select(F.col("name").alias("c_mktsegment"), F.col("id").alias("subscription_id")), "c_mktsegment")
+    people = customer.join(markets.select(F.col("name").alias("market"), F.col("id").alias("subscription_id")), "market")
     people = people.select(
         F.concat(F.lit("c-"), key.cast("string")).alias("id"), "subscription_id", (1 + F.col("c_nationkey") % 3).cast("double").alias("weight"),
         seen.alias("heartbeat_detected_at"), F.lit(3.0).alias("heartbeat_interval"), plus_seconds(seen, F.when(key % 7 == 0, -1).otherwise(15)).alias("heartbeat_deadline"),
