@@ -3,7 +3,8 @@
 Equal vectors of a label are one point with a weight. Each tree projects the points on one random direction for each level and
 splits every node at its median; points closer to the split than a margin go to both sides, so that two near points hardly
 ever part. Splits are fitted on a bounded sample, then every point is routed by itself: all its leaves in all trees are known
-before points are compared. A label's trees are as deep as its points need for leaves of a bounded size.
+before points are compared. A label's trees are as deep as its points need for leaves of a bounded size, and as many as their
+depth needs: one for a label that fits in a leaf, more the more splits could part two near points.
 
 Points are compared within leaves in double precision. A pair that meets in several leaves belongs to the smallest of them, so
 a leaf yields sums of links and a spanning forest for its points, never pairs, and its output is linear in its members. Leaves
@@ -11,34 +12,49 @@ that stay large, as those of a dense group, are dealt in blocks; each two blocks
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link with
 nothing; vectors of different lengths aren't linked; repeated rows are vectors of their own; a row with a null id takes no part
-(component null, not kept); an empty table gives an empty result.
+(component null, not kept); a pair at the threshold is linked; columns but the id, the vector and the label aren't read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, release, small, table
 from .components import components
 from .vectors import matrix, takes_part, unit
 
 THRESHOLD = 0.93
-#: Points of the fit, trees, members of a leaf aimed at, and deepest tree.
-SAMPLE, TREES, LEAF, DEEPEST = 8192, 6, 256, 40
+#: Points of the fit, members of a leaf aimed at, and deepest tree.
+SAMPLE, LEAF, DEEPEST = 8192, 2048, 40
 #: Half the width of the overlap at a split, in standard deviations of the difference that two vectors at the threshold have on
 #: a random direction.
 SPILL = 0.7
+#: Share of the pairs at the threshold that one split parts with such an overlap (measured: 0.011), and share that may be parted
+#: in all trees.
+PARTED, MISSED = 0.012, 1e-4
 #: Nodes whose medians are fitted; deeper ones split at their level's median.
 FITTED_LEVELS = 8
-BLOCK = 1024
-BROADCAST_LABELS = 100_000
+#: Members of a block of a leaf.
+BLOCK = 4096
+#: Parts that equal vectors are dealt in when they get their component.
+SALTS = 32
+
+
+def trees_for(depth: int) -> int:
+    """Trees of so many levels in all of which no more than MISSED of the pairs at the threshold are parted."""
+    if not depth:
+        return 1
+    return math.ceil(math.log(MISSED) / math.log(1 - (1 - PARTED) ** depth))
 
 
 class Forest:
-    def __init__(self, sample: np.ndarray, dim: int, threshold: float, trees: int = TREES, levels: int = DEEPEST):
+    def __init__(self, sample: np.ndarray, dim: int, threshold: float, trees: int = trees_for(DEEPEST), levels: int = DEEPEST):
         rng = np.random.Generator(np.random.PCG64(11))
         d = rng.standard_normal((trees, levels, dim))
         self.directions = d / np.linalg.norm(d, axis=2, keepdims=True)
@@ -63,10 +79,12 @@ class Forest:
     def leaves(self, x: np.ndarray, depth: np.ndarray) -> list[list[int]]:
         """For each unit vector, its leaves as numbers: tree and path."""
         out: list[list[int]] = [[] for _ in range(len(x))]
-        for t in range(len(self.directions)):
-            deepest = int(depth.max(initial=0))
+        deepest = int(depth.max(initial=0))
+        trees = np.array([trees_for(d) for d in range(deepest + 1)])[depth]
+        for t in range(int(trees.max(initial=0))):
             p = x @ self.directions[t, :deepest].T
-            row, node = np.arange(len(x)), np.ones(len(x), np.int64)
+            row = np.flatnonzero(trees > t)
+            node = np.ones(len(row), np.int64)
             for level in range(deepest):
                 go = depth[row] > level
                 split = np.full(len(row), self.medians[t, level])
@@ -80,20 +98,20 @@ class Forest:
         return out
 
 
-def routed(points: DataFrame, forests: dict[int, Forest]) -> DataFrame:
-    """points(rep, label, n, vector, depth) -> with unit vectors and their leaves, smallest first."""
+def routed(points: DataFrame, forests: dict[int, Forest], kind: type) -> DataFrame:
+    """points(rep, label, n, vector, depth) -> with vectors as bytes of that type and their leaves, smallest first."""
 
     def route(batches):
         for rows in batches:
             for dim, part in rows.groupby(rows["vector"].map(len)):
-                x = unit(matrix(part["vector"]))
-                leaves = forests[dim].leaves(x, part["depth"].to_numpy())
+                x = matrix(part["vector"])
+                leaves = forests[dim].leaves(unit(x), part["depth"].to_numpy())
                 labels = part["label"].tolist()
                 # Of tuples of integers, which hash alike in every process.
                 keyed = [sorted(hash((dim, label, leaf)) for leaf in own) for label, own in zip(labels, leaves)]
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "n": part["n"].to_numpy(), "unit": [v.tobytes() for v in x], "leaves": keyed})
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "n": part["n"].to_numpy(), "raw": [v.tobytes() for v in x.astype(kind)], "leaves": keyed})
 
-    return points.mapInPandas(route, "rep long, n long, unit binary, leaves array<long>")
+    return points.mapInPandas(route, "rep long, n long, raw binary, leaves array<long>")
 
 
 def _owned(leaves: list[list[int]], a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
@@ -109,13 +127,13 @@ def _owned(leaves: list[list[int]], a: np.ndarray, b: np.ndarray, leaf: int) ->
     return out
 
 
-def compare(threshold: float):
+def compare(threshold: float, kind: type):
     """Of a tile: rows (a, b, w): b null, w links of the vector a; or b the smallest point of a's group in this tile."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         leaf, i, j = key
         rows = rows.sort_values("rep", ignore_index=True)
-        x = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows), -1)
+        x = unit(np.frombuffer(b"".join(rows["raw"]), kind).reshape(len(rows), -1).astype(np.float64))
         rep, n = rows["rep"].to_numpy(), rows["n"].to_numpy()
         block = rows["block"].to_numpy()
         left = np.arange(len(rows)) if i == j else np.flatnonzero(block == i)
@@ -160,32 +178,37 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("label"))
     good = takes_part(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     keyed = ids.select("vec_id", F.when(good, F.xxhash64("label", "vector")).alias("h1"), F.when(good, F.xxhash64(F.lit(1), "vector", "label")).alias("h2"), "label", "vector")
-    points = keyed.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
-    points = materialize(points, "forest-points")
-    sizes = points.groupBy("label").agg(F.count("*").alias("size"))
-    labels = F.broadcast(sizes) if sizes.count() <= BROADCAST_LABELS else sizes
+    good = keyed.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    points = materialize(good, "forest-points")
+    # Vectors travel in the precision that they have; cosines are computed in double precision.
+    kind = np.float32 if points.schema["vector"].dataType.elementType.simpleString() == "float" else np.float64
+    sizes = materialize(points.groupBy("label").agg(F.count("*").alias("size")), "forest-labels")
     depth = F.least(F.lit(DEEPEST), F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / LEAF)).cast("int")))
-    deep = points.join(labels, "label").select("rep", F.xxhash64("label").alias("label"), "n", "vector", depth.alias("depth"))
+    # Labels of more than a leaf are few enough to be broadcast: one for each LEAF points at most. Others have depth 0.
+    deep = points.join(small(sizes.filter(F.col("size") > LEAF)), "label", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    deep = deep.select("rep", F.xxhash64("label").alias("label"), "n", "vector", depth.alias("depth"))
     forests = {}
     for (dim,) in points.select(F.size("vector")).distinct().collect():  # lengths of vectors: a handful
         sample = points.filter(F.size("vector") == dim).select("rep", "vector").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE)
         forests[dim] = Forest(unit(matrix(pd.Series([r.vector for r in sample.collect()]))), dim, threshold)
-    at = materialize(routed(deep, forests), "forest-leaves")
+    at = materialize(routed(deep, forests, kind), "forest-leaves")
     large = at.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("members")).filter(F.col("members") > 1)
     large = materialize(large, "forest-sizes")
-    rows = at.withColumn("leaf", F.explode("leaves")).join(large, "leaf")
+    rows = at.withColumn("leaf", F.explode("leaves")).join(small(large), "leaf")
     rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = rows.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "unit", "leaves")
-    found = materialize(tiles.groupBy("leaf", "i", "j").applyInPandas(compare(threshold), "a long, b long, w long"), "forest-links")
+    tiles = rows.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "raw", "leaves")
+    found = materialize(tiles.groupBy("leaf", "i", "j").applyInPandas(compare(threshold, kind), "a long, b long, w long"), "forest-links")
+    release(sizes, at, large)
     counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
     comps = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    placed = points.select("h1", "h2", "rep", "n").join(counts, "rep", "left").join(comps, "rep", "left")
-    placed = placed.filter("n > 1 or w is not null").select("h1", "h2", (F.col("n") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = keyed.select("vec_id", "h1", "h2").join(placed, ["h1", "h2"], "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    placed = points.select("h1", "h2", "rep", "n").join(counts, "rep", "left").join(comps, "rep", "left").filter("n > 1 or w is not null")
+    placed = placed.select("h1", "h2", (F.col("n") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    placed = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = keyed.select("vec_id", "h1", "h2", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    out = dealt.filter("h1 is not null").join(placed, ["h1", "h2", "salt"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    alone = dealt.filter("h1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op6_embedding_dedup(spark, sf_dir: str) -> DataFrame:
