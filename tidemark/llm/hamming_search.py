@@ -1,19 +1,21 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Rotations learned on a bounded sample (principal axes, then iterative quantisation, from several starts) turn each vector into a
-binary code. A code is cut into substrings and every substring of a block of codes is indexed. If two codes differ in at most R
-bits, one of their m substrings differs in at most floor(R / m): probing all values so near in each substring, then checking
-whole codes, retrieves every code within R and no other. Those are ranked by cosine in double precision.
+long binary code. A code is cut into substrings of 16 bits and every substring of a block of codes has an index of its own: a
+table from each value to the codes that have it. A query probes each table with all values within a small radius of its own
+substring. By the pigeonhole principle, that retrieves every code that differs in fewer than (radius + 1) * substrings bits;
+codes farther away are retrieved if one of their substrings is near. All that is retrieved is ranked by cosine in double precision.
 
-R is calibrated on the sample, so that nearly all true neighbours lie within; where fewer codes than asked for do, a block's
-radius for that query grows to them. Where probing would visit more entries than a block has codes, as it does when neighbours
-are as far as those of random vectors, the codes are compared one by one: the same codes are retrieved either way.
+The radius and the number of substrings are calibrated on the sample: of those that retrieve nearly all true neighbours of its
+vectors, the ones that visit the fewest entries are taken. True neighbours of a larger table are nearer than those of the
+sample, so its share is a lower bound. A query that retrieves fewer codes of a block than it asks for widens its radius there.
 
-Every row is indexed. Queries and index meet in tiles of a block of each; a tile yields the best few of each of its queries.
+Every row is indexed, in one block. Queries meet each block; a block yields the best few of each of its queries.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, or have a null id, take no part; rows
 with the query's id are its own; vectors of other lengths than the query's are no candidates; ties go to the smaller id; with
-fewer candidates than asked for, all are returned; an empty table gives an empty result.
+fewer candidates than asked for, all are returned; columns but the id and the vector aren't read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -29,127 +31,125 @@ from .common import materialize, table
 from .vectors import matrix, takes_part, unit
 
 NEIGHBOURS, EVERY = 5, 50
-#: Vectors of the fit; rotations of the code; bits of a substring; share of the sample's true neighbours within the radius.
-SAMPLE, ROTATIONS, PIECE, WITHIN = 4096, 4, 16, 0.985
-#: Codes and queries of a tile.
-INDEX_ROWS, QUERY_ROWS = 4096, 1024
+#: Vectors of the fit, those of them that serve as queries, and rounds of quantisation of each rotation.
+SAMPLE, TRIED, ROUNDS = 4096, 1024, 5
+#: Bits of all rotations, about; bits of a substring; share of the sample's true neighbours that must be retrieved.
+BITS, PIECE, WITHIN = 3072, 16, 0.96
+#: Bytes of the vectors of an index block in single precision, and queries that meet it in one task, at most.
+BLOCK_BYTES, QUERY_ROWS = 8 << 20, 4096
 
 
 @dataclass(frozen=True)
 class Codes:
-    """Learned rotations (bits, dim) of centred vectors, and the radius."""
+    """Learned rotations (bits, dim) of centred vectors, and the radius around each substring that is probed."""
 
     centre: np.ndarray
     rotation: np.ndarray
     radius: int
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        """Unit vectors -> (rows, words) of uint16 substrings."""
-        bits = (x - self.centre) @ self.rotation.T > 0
-        bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
-        return np.packbits(bits, axis=1).view(np.uint16)
+        """Unit vectors -> (rows, substrings) of uint16."""
+        return np.packbits((x - self.centre) @ self.rotation.T > 0, axis=1).view(np.uint16)
 
 
-def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of each row of a and each row of b."""
-    x, y = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
-    out = np.zeros((len(x), len(y)), np.int32)
-    for k in range(x.shape[1]):
-        out += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
-    return out
-
-
-def fit(sample: np.ndarray, rotations: int = ROTATIONS, within: float = WITHIN, neighbours: int = NEIGHBOURS) -> Codes:
-    """sample: unit vectors."""
+def rotations(sample: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, directions): as many rotations of the principal axes as give so many bits, whole substrings only."""
     dim = sample.shape[1]
     rng = np.random.Generator(np.random.PCG64(5))
     centre = sample.mean(axis=0)
     z = sample - centre
-    _, _, axes = np.linalg.svd(z, full_matrices=True) if len(z) > 1 else (None, None, np.eye(dim))
-    parts = []
-    for _ in range(rotations):
+    axes = np.linalg.svd(z.T @ z)[0].T if len(z) > 1 else np.eye(dim)
+    parts, y = [], z @ axes.T
+    for _ in range(max(1, -(-bits // dim))):
         r = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        y = z @ axes.T
-        for _ in range(20):  # the rotation that brings the codes' corners closest to the vectors
+        for _ in range(ROUNDS):  # the rotation that brings the codes' corners closest to the vectors
             u, _, v = np.linalg.svd(np.where(y @ r > 0, 1.0, -1.0).T @ y)
             r = (u @ v).T
         parts.append((axes.T @ r).T)
-    codes = Codes(centre, np.concatenate(parts), 0)
-    some = sample[:1024]
-    cos = some @ sample.T
-    cos[np.arange(len(some)), np.arange(len(some))] = -2
-    k = min(neighbours, len(sample) - 1)
-    if k < 1:
-        return Codes(centre, codes.rotation, codes.rotation.shape[0])
-    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-    coded = codes.encode(sample)
-    far = np.take_along_axis(hamming(coded[: len(some)], coded), near, axis=1)
-    return Codes(centre, codes.rotation, int(np.ceil(np.quantile(far, within))))
+    found = np.concatenate(parts)
+    return centre, found[: len(found) // PIECE * PIECE]
 
 
-def near_values(radius: int, bits: int = PIECE) -> np.ndarray:
-    """All numbers of so many bits with at most radius ones: the differences to probe."""
-    every = np.arange(1 << bits, dtype=np.uint32)
+def near_values(radius: int) -> np.ndarray:
+    """All numbers of PIECE bits with at most radius ones: the differences to probe."""
+    every = np.arange(1 << PIECE, dtype=np.uint32)
     return every[np.bitwise_count(every) <= radius].astype(np.uint16)
 
 
+def fit(sample: np.ndarray, within: float = WITHIN, neighbours: int = NEIGHBOURS) -> Codes:
+    """sample: unit vectors."""
+    centre, directions = rotations(sample)
+    some = sample[:TRIED]
+    k = min(neighbours, len(sample) - 1)
+    if k < 1:
+        return Codes(centre, directions[:PIECE], PIECE)
+    cos = some @ sample.T
+    cos[np.arange(len(some)), np.arange(len(some))] = -2
+    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+    coded = Codes(centre, directions, 0).encode(sample)
+    far = np.bitwise_count(coded[: len(some), None, :] ^ coded[near]).reshape(-1, coded.shape[1])
+    best = None
+    for radius in range(PIECE + 1):
+        # Share of the neighbours that the first substrings retrieve, for every number of substrings.
+        share = np.maximum.accumulate(far <= radius, axis=1).mean(axis=0)
+        if share[-1] >= within:
+            pieces = int(np.argmax(share >= within)) + 1
+            visits = pieces * len(near_values(radius))
+            if best is None or visits < best[0]:
+                best = visits, pieces, radius
+    _, pieces, radius = best  # a radius of all bits retrieves everything
+    return Codes(centre, directions[: pieces * PIECE], radius)
+
+
 class Block:
-    """The substring tables of a block of codes."""
+    """The substring tables of a block of codes: of each substring, the places in order of value, and where each value starts."""
 
     def __init__(self, codes: np.ndarray, radius: int):
-        self.codes, self.radius = codes, radius
-        self.each = radius // codes.shape[1]
-        probes = near_values(min(self.each, PIECE))
-        # Expected entries visited for a query, buckets included, against one comparison for each code.
-        visits = codes.shape[1] * len(probes) * (1 + len(codes) / (1 << PIECE))
-        self.probes = probes if visits < len(codes) else None
-        if self.probes is not None:
-            self.order = np.argsort(codes, axis=0, kind="stable")
-            self.sorted = np.take_along_axis(codes, self.order, axis=0)
-
-    def within(self, query: np.ndarray) -> np.ndarray | None:
-        """Places of all codes within the radius of one query by pigeonhole probing; None: compare all."""
-        if self.probes is None:
-            return None
-        found = []
-        for s in range(self.codes.shape[1]):
-            wanted = self.probes ^ query[s]
-            low, high = np.searchsorted(self.sorted[:, s], wanted, "left"), np.searchsorted(self.sorted[:, s], wanted, "right")
-            found += [self.order[a:b, s] for a, b in zip(low[high > low], high[high > low])]
-        if not found:
-            return np.empty(0, np.int64)
-        some = np.unique(np.concatenate(found))
-        return some[hamming(query[None], self.codes[some])[0] <= self.radius]
-
-
-def candidates(block: Block, queries: np.ndarray, least: int):
-    """For each query, the places within the radius, and those as near as the least-th nearest code if they are fewer."""
-    for at in range(0, len(queries), 32):
-        part = queries[at : at + 32]
-        far = None
-        for k, q in enumerate(part):
-            some = block.within(q)
-            if some is None or len(some) < least:
-                far = hamming(part, block.codes) if far is None else far
-                n = min(least, far.shape[1])
-                reach = max(block.radius, int(np.partition(far[k], n - 1)[n - 1]))
-                some = np.flatnonzero(far[k] <= reach)
-            yield at + k, some
-
-
-def search_tile(codes: Codes, most: int):
+        self.size, self.radius = len(codes), radius
+        self.order = np.ascontiguousarray(np.argsort(codes, axis=0, kind="stable").T.astype(np.int32))
+        self.start = np.zeros((codes.shape[1], (1 << PIECE) + 1), np.int32)
+        for s in range(codes.shape[1]):
+            np.cumsum(np.bincount(codes[:, s], minlength=1 << PIECE), out=self.start[s, 1:])
+        self.probes = {radius: near_values(radius)}
+
+    def retrieved(self, query: np.ndarray, least: int) -> np.ndarray:
+        """Places of all codes with a substring within the radius of the query's; at least so many, or all."""
+        radius = self.radius
+        while True:
+            if radius not in self.probes:
+                self.probes[radius] = near_values(radius)
+            wanted = query[:, None] ^ self.probes[radius][None]
+            row = np.arange(len(query))[:, None]
+            low, high = self.start[row, wanted], self.start[row, wanted.astype(np.int32) + 1]
+            piece, probe = np.nonzero(high > low)
+            low, count = low[piece, probe], (high - low)[piece, probe]
+            # The entries from low on, count of them, of each probe that has some.
+            entries = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
+            seen = np.zeros(self.size, bool)
+            seen[self.order[np.repeat(piece, count), entries]] = True
+            found = np.flatnonzero(seen)
+            if len(found) >= min(least, self.size) or radius == PIECE:
+                return found
+            radius += 1
+
+
+def search_block(codes: Codes, most: int):
     def run(key, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if len(index) and len(queries):
             x, q = matrix(index["vector"]), matrix(queries["vector"])
             ids, qids = index["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
             block = Block(codes.encode(unit(x)), codes.radius)
-            length = np.linalg.norm(x, axis=1)
-            # Its own row and the best few: one more than asked for, and one for each further row with the query's id.
+            length, own = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
+            # The best few, and as many more as rows may have the query's own id.
             again = int(pd.Series(ids).value_counts().max())
-            for k, some in candidates(block, codes.encode(unit(q)), most + again):
+            for k, code in enumerate(codes.encode(unit(q))):
+                some = block.retrieved(code, most + again)
                 some = some[ids[some] != qids[k]]
-                score = (x[some] * q[k]).sum(axis=1) / (length[some] * np.linalg.norm(q[k]))
+                score = (x[some] * q[k]).sum(axis=1) / (length[some] * own[k])
+                if len(some) > 4 * most:  # ties with the last one stay in
+                    kept = score >= np.partition(score, -most)[-most]
+                    some, score = some[kept], score[kept]
                 best = np.lexsort((ids[some], -score))[:most]
                 out["query_id"] += [int(qids[k])] * len(best)
                 out["vec_id"] += ids[some][best].tolist()
@@ -160,18 +160,24 @@ def search_tile(codes: Codes, most: int):
 
 
 def search(index: DataFrame, queries: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
-    """index, queries(vec_id, vector), vectors of one length that take part -> (query_id, rank, vec_id, score)."""
+    """index, queries(vec_id, vector), vectors of one length that take part -> (query_id, rank, vec_id, score).
+
+    An index row is in one block of BLOCK_BYTES and goes to as many tasks as the queries need: one for each QUERY_ROWS, or, of a
+    small table, as many as keep the cores busy.
+    """
     n, m = index.count(), queries.count()
     sample = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
     if not sample:
         return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     codes = fit(unit(matrix(pd.Series([r.vector for r in sample]))), neighbours=most)
-    i_blocks, q_blocks = max(1, -(-n // INDEX_ROWS)), max(1, -(-m // QUERY_ROWS))
+    i_blocks = -(-n * 4 * len(sample[0].vector) // BLOCK_BYTES)
+    idle = -(-index.sparkSession.sparkContext.defaultParallelism // i_blocks)
+    q_blocks = max(1, -(-m // QUERY_ROWS), min(idle, m // 64))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     block = lambda k, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(k)).cast("int")
     a = index.withColumn("i", block(i_blocks, 1)).withColumn("j", every(q_blocks))
     b = queries.withColumn("j", block(q_blocks, 2)).withColumn("i", every(i_blocks))
-    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(search_tile(codes, most), "query_id long, vec_id long, score double")
+    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(search_block(codes, most), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("query_id", "rank", "vec_id", "score")
 
