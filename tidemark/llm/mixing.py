@@ -10,8 +10,10 @@ which all ways are tried and the one nearest to the expected totals is taken.
 Targets: sources weigh by the order of their names, share the total and stop at a multiple of their own size; the excess is
 shared by weight again. That is the level at which the sum of min(cap, level * weight) is the total, found from running sums.
 
-Defined results: a null text has no words; a null source is one source, the last; rows without words are never taken; repeated
-rows are documents of their own; the draw depends only on ids and sizes, so reruns agree; an empty table gives an empty result.
+Defined results: a null text has no words; a null source is one source, the last; rows without words are never taken; texts of any
+length count whole; of equal sizes, places are drawn from ids; repeated rows are documents of their own; the draw depends only on
+ids and sizes, so reruns agree; columns of any name are carried along, but those of the names that are added give way; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from .common import WORD, materialize, small, spread, table
 
 # The contract's weights, the share of all sizes that is taken, and the cap on a source.
 WEIGHTS = (3, 1, 2)
@@ -34,30 +36,43 @@ GROUP_ROWS, FAN_IN = 8192, 1024
 HELD = 7
 #: Sources whose table is broadcast, at most; beyond, it is joined on a salted key.
 BROADCAST_SOURCES, SALTS = 100_000, 64
+#: Copies of a repeated row that one task makes.
+PART = 4096
 
 
 def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """sizes(source, size) -> one row for each source: source, rank, docs, source_size, target.
+def running(rows: DataFrame, order: list, **sums: str) -> DataFrame:
+    """rows, written, with place (from 0 in the given order, of which no two rows are equal) and running sums of columns before
+    each row. Ranges of the order are numbered by themselves and moved by the sums of the ranges before: one row for each."""
+    keys = [f"_k{i}" for i in range(len(order))]
+    dealt = rows.select("*", *(c.alias(k) for c, k in zip(order, keys)))
+    dealt = materialize(dealt.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    inside = Window.partitionBy("_range").orderBy(*keys)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    dealt = dealt.withColumn("_place", F.row_number().over(inside).cast("long") - 1).withColumns({f"_{n}": zero(F.sum(c).over(before)) for n, c in sums.items()})
+    ranges = dealt.groupBy("_range").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_all_{n}") for n, c in sums.items()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", zero(F.sum("_n").over(earlier)).alias("_at"), *(zero(F.sum(f"_all_{n}").over(earlier)).alias(f"_at_{n}") for n in sums))
+    found = dealt.join(F.broadcast(ranges), "_range")  # as many rows as there are shuffle partitions
+    return found.select(*rows.columns, (F.col("_at") + F.col("_place")).alias("place"), *((F.col(f"_at_{n}") + F.col(f"_{n}")).alias(n) for n in sums))
+
 
-    The windows below have no key: they run over one row for each source, not over documents.
-    """
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """sizes(source, size) -> one row for each source: source, rank, docs, source_size, target."""
     each = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
+    each = running(each, [F.col("source").isNull(), F.coalesce("source", F.lit(""))]).withColumnRenamed("place", "rank")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    each = each.withColumn("rank", F.row_number().over(by_name).cast("long") - 1).withColumn("weight", weight)
-    each = each.withColumn("most", F.col("source_size") * F.lit(cap))
-    rising = Window.orderBy(F.col("most") / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    each = each.withColumn("before", F.coalesce(F.sum("most").over(rising), F.lit(0.0)))
-    each = each.withColumn("free", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(rising), F.lit(0.0)))
-    each = each.withColumn("level", (F.sum("source_size").over(whole) * F.lit(share) - F.col("before")) / F.col("free"))
+    each = each.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(cap))
+    each = materialize(running(each, [F.col("most") / F.col("weight"), F.col("rank")], before="most", passed="weight"), "mix-levels")
+    whole = each.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    each = each.withColumn("level", (F.lit((whole["size"] or 0) * share) - F.col("before")) / (F.lit(whole["weight"] or 1.0) - F.col("passed")))
     # The first source, in this order, that doesn't reach its cap sets the level for itself and all after it.
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct(F.col("most") / F.col("weight"), "rank", "level"))).over(whole)["level"]
-    target = F.least(F.col("most"), F.coalesce(level * F.col("weight"), F.col("most")))
+    first = each.filter(F.col("level") * F.col("weight") <= F.col("most")).agg(F.min(F.struct(F.col("most") / F.col("weight"), "rank", "level")).alias("at")).first().at
+    target = F.col("most") if first is None else F.least(F.col("most"), F.lit(first["level"]) * F.col("weight"))
     return each.select("source", "rank", "docs", "source_size", target.alias("target"))
 
 
@@ -127,7 +142,10 @@ def _decide(last: bool):
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """docs(doc_id, source, size, ...) with source_size, target and copies, how often the mix takes the row."""
-    docs = materialize(docs, "mix-sizes")
+    carried = [c for c in docs.columns if c not in ("doc_id", "source", "size", "source_size", "target", "copies")]
+    names = {c: f"_c{i}" for i, c in enumerate(carried)}  # so that none clashes with the columns below
+    given = [c for c in docs.columns if c in names or c in ("doc_id", "source", "size")]
+    docs = materialize(docs.select("doc_id", "source", "size", *(F.col(c).alias(n) for c, n in names.items())), "mix-sizes")
     sources = materialize(targets(docs, weights, share, cap), "mix-sources")
     top = sources.agg(F.count("*"), F.coalesce(F.max("docs"), F.lit(0))).first()
     few = top[0] <= BROADCAST_SOURCES
@@ -157,11 +175,11 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
         groups = -(-groups // FAN_IN)
     for part in done:
         plain = plain.unionByName(part)
-    return plain.withColumn("copies", (F.col("_whole") + F.col("chance")).cast("long")).drop("_rate", "_whole", "chance", "order", "shard", "rank", "docs")
+    return plain.select(*(F.col(names.get(c, c)).alias(c) for c in given), "source_size", "target", (F.col("_whole") + F.col("chance")).cast("long").alias("copies"))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "size")
+    docs = sized(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))).select("doc_id", "source", "size")
     mixed = copies(docs)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -172,11 +190,18 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     # and what is taken of them.
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
-    keyed = plain.withColumn("key", F.xxhash64(*plain.columns)).withColumn("id", F.coalesce(F.col(names["doc_id"]), F.lit(0)))
+    hashed = [names[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = plain.withColumn("key", F.xxhash64(*hashed)).withColumn("id", F.coalesce(F.col(names["doc_id"]), F.lit(0)))
     sizes = sized(keyed, names["text"]).select(F.col(names["doc_id"]).alias("doc_id"), F.col(names["source"]).alias("source"), "size", "key", "id")
-    taken = copies(sizes).groupBy("id", "key").agg(F.sum("copies").alias("all"), F.count("*").alias("rows")).filter(F.col("all") > 0)
-    turn = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(1)))
-    found = keyed.join(taken, ["id", "key"]).withColumn("turn", turn)
-    times = F.floor(F.col("all") / F.col("rows")) + (F.col("turn") <= F.col("all") % F.col("rows")).cast("long")
-    found = found.withColumn("times", times).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    taken = materialize(copies(sizes).groupBy("id", "key").agg(F.sum("copies").alias("all"), F.count("*").alias("rows")).filter(F.col("all") > 0), "mix-taken")
+    each = keyed.join(taken.filter(F.col("rows") == 1), ["id", "key"])
+    repeated = taken.filter(F.col("rows") > 1)
+    if not repeated.isEmpty():
+        # One row of each stands for all; what is taken of it is dealt in parts.
+        row = F.struct(*names.values())
+        some = keyed.join(small(repeated.select("id", "key")), ["id", "key"], "left_semi").groupBy("id", "key").agg(F.first(row).alias("row"))
+        parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all") - 1) / PART)))
+        some = some.join(repeated, ["id", "key"]).withColumn("part", parts).withColumn("all", F.least(F.lit(PART), F.col("all") - F.col("part") * PART))
+        each = each.select(*names.values(), "all").unionByName(some.repartition("id", "key", "part").select("row.*", "all"))
+    found = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("all").cast("long"))))
     return found.select(*(F.col(n).alias(c) for c, n in names.items()))
