@@ -3,13 +3,17 @@
 Every url is written as a few canonical expressions: its host and each parent domain, with its path and each directory above
 it. A listed entry covers a url if it is one of these expressions. The filter is a table of blocks of eight 32-bit words, as
 many as the list needs; an expression is a possible hit if its block has its bit in each word. Possible hits go to an exact
-join with the list, so false positives of the filter never reach the result. The filter is broadcast only below a checked
-size and otherwise joined by shuffle.
+join with the list, so false positives of the filter never reach the result.
+
+Each pair of host and path is looked up once, however many rows have it. The filter and the list are broadcast only below a
+checked size. Beyond, each expression is looked up once too, however many urls lie below it, and what is found goes back to
+urls and rows by joins on salted keys.
 
 Rules of host and path judge first, the longest that fits; the list judges the urls that no rule fits.
 
-Defined results: a null url, or one without "://", has an empty host and path, fits no rule or entry and is allowed; repeated
-rows each get a result; null or empty entries of the list are ignored; with an empty list every url without a rule is allowed.
+Defined results: a null url, or one without "://", has an empty host and path, fits no rule or entry and is allowed; urls of any
+length are judged whole; repeated rows each get a result; null or empty entries of the list are ignored; with an empty list every
+url without a rule is allowed. The columns that are added take the place of columns of the same names; others are carried along.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 # The contract's rules (verdict, host, path).
 RULES = (
@@ -35,6 +39,10 @@ LISTED = tuple(f"{name}.example.{top}/" for name in LISTED_NAMES for top in ("co
 #: Bits of the filter for each listed entry, and the largest filter that is broadcast (bytes of its words).
 BITS_PER_ENTRY, BROADCAST_BYTES = 16, 64 << 20
 WORDS = 8
+#: Bytes that are reckoned for a listed url where its broadcast is considered.
+URL_BYTES = 512
+#: Parts that the rows of one key are dealt in where a join is by shuffle.
+SALTS = 32
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -88,10 +96,10 @@ def path_levels(path: Column) -> Column:
     return F.array_distinct(F.concat(F.array(clean), above))
 
 
-def expressions(rows: DataFrame) -> DataFrame:
-    """rows(_row, host, path) -> (_row, entry), the canonical expressions of each; a row's pairs of levels are never held at once."""
-    hosts = rows.select("_row", F.explode(host_levels(F.col("host"))).alias("host"), "path")
-    return hosts.select("_row", "host", F.explode(path_levels(F.col("path"))).alias("path")).select("_row", F.concat("host", "path").alias("entry"))
+def expressions(urls: DataFrame) -> DataFrame:
+    """urls(host, path) -> (host, path, entry), the canonical expressions of each; a url's pairs of levels are never held at once."""
+    hosts = urls.select("host", "path", F.explode(host_levels(F.col("host"))).alias("h"))
+    return hosts.select("host", "path", "h", F.explode(path_levels(F.col("path"))).alias("p")).select("host", "path", F.concat("h", "p").alias("entry"))
 
 
 def canonical_entry(url: Column) -> Column:
@@ -118,24 +126,46 @@ def bloom_blocks(entries: DataFrame, blocks: int) -> DataFrame:
     return bits.groupBy("block").agg(*(F.expr(f"bit_or(w{i})").alias(f"w{i}") for i in range(WORDS)))
 
 
-def listed_hits(pages: DataFrame, listed: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
+def _salted(rows: DataFrame, found: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """rows joined with found, which has each key once: found is there in all parts that the rows of a key are dealt in, by a
+    hash of their columns."""
+    hashed = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int"))
+    copies = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*keys, "salt"], how).drop("salt")
+
+
+def listed_urls(urls: DataFrame, entries: DataFrame, bits_per_entry: int, broadcast_bytes: int) -> DataFrame:
+    """Of urls(host, path), each once, those below one of entries(entry)."""
+    blocks = max(1, -(-entries.count() * bits_per_entry // (32 * WORDS)))
+    filter_table = bloom_blocks(entries, blocks)
+    small = blocks * (WORDS + 1) * 8 <= broadcast_bytes
+    tried = expressions(urls)
+    lookups = tried if small else tried.select("entry").distinct()
+    possible = lookups.withColumn("block", _block(F.col("entry"), blocks)).join(F.broadcast(filter_table) if small else filter_table, "block")
+    possible = possible.filter(reduce(lambda a, b: a & b, (F.col(f"w{i}").bitwiseAND(m) != 0 for i, m in enumerate(_masks(F.col("entry"))))))
+    exact = possible.join(F.broadcast(entries) if small else entries, "entry")
+    found = exact if small else _salted(tried, exact.select("entry"), ["entry"], "inner")
+    return found.select("host", "path").distinct()
+
+
+def listed_hits(pages: DataFrame, listed: DataFrame, bits_per_entry: int = BITS_PER_ENTRY, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """pages with host and path -> pages with a boolean listed. listed has one string column, the urls or hosts."""
-    pages = pages.drop("listed")
     entries = listed.select(canonical_entry(F.col(listed.columns[0])).alias("entry")).filter("entry is not null and entry <> '' and entry not like '/%'").distinct()
-    n = entries.count()
-    if not n:
+    if entries.isEmpty():
         return pages.withColumn("listed", F.lit(False))
-    blocks = max(1, -(-n * bits_per_entry // (32 * WORDS)))
-    filter_table = bloom_blocks(entries, blocks)
-    small = blocks * (WORDS + 1) * 8 <= BROADCAST_BYTES
-    # A row's number comes from its place in the scan, so a task that runs again gives the same.
-    rows = pages.withColumn("_row", F.monotonically_increasing_id())
-    tried = expressions(rows.select("_row", "host", "path"))
-    tried = tried.withColumn("block", _block(F.col("entry"), blocks))
-    possible = tried.join(F.broadcast(filter_table) if small else filter_table, "block")
-    possible = possible.filter(reduce(lambda a, b: a & b, (F.col(f"w{i}").bitwiseAND(m) != 0 for i, m in enumerate(_masks(F.col("entry"))))))
-    exact = possible.select("_row", "entry").join(F.broadcast(entries) if small else entries, "entry").select("_row").distinct()
-    return rows.join(exact.withColumn("listed", F.lit(True)), "_row", "left").withColumn("listed", F.coalesce("listed", F.lit(False))).drop("_row")
+    found = materialize(listed_urls(pages.select("host", "path").distinct(), entries, bits_per_entry, broadcast_bytes), "listed-urls")
+    # Other columns wait under names of their own, so that none clashes with those of the joins.
+    names = {c: f"_c{i}" for i, c in enumerate(pages.columns) if c not in ("host", "path", "listed")}
+    rows = pages.select("host", "path", *(F.col(c).alias(n) for c, n in names.items()))
+    found = found.withColumn("listed", F.lit(True))
+    if found.limit(broadcast_bytes // URL_BYTES + 1).count() <= broadcast_bytes // URL_BYTES:
+        hit = rows.join(F.broadcast(found), ["host", "path"], "left")
+    else:
+        hit = _salted(rows, found, ["host", "path"], "left")
+    back = {n: c for c, n in names.items()}
+    columns = [c for c in pages.columns if c != "listed"]
+    return hit.select(*(F.col(names.get(c, c)).alias(back.get(c, c)) for c in columns), F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
