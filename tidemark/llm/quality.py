@@ -8,7 +8,8 @@ plus the log of the classes' ratio.
 
 Defined results: a null text is empty and gets a score like any other; repeated rows each get a score; of conflicting labels of
 a document the majority counts, a tie counts as good; labels of null documents or null quality are ignored; without labelled
-rows of both classes, the score is the share of good rows (0.5 without any); an empty table gives an empty result.
+rows of both classes, the score is the share of good rows (0.5 without any); texts of any length are measured whole; other columns
+are carried along, but those called stats or score give way to the ones that are added; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, table
+from .common import map_rows, materialize, spread, table
 
 #: Score from which a document is kept.
 THRESHOLD = 0.7
@@ -109,8 +110,8 @@ def from_moments(n: np.ndarray, sums: np.ndarray, products: np.ndarray, pooled:
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with an array column stats. Every other column is carried along."""
-    kept = docs.columns
-    at = kept.index(text_col)
+    docs = docs.drop("stats")
+    at = docs.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def measure(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -145,6 +146,7 @@ def fit(measured: DataFrame, labels: DataFrame) -> Discriminant:
 
 def scored(measured: DataFrame, model: Discriminant) -> DataFrame:
     """measured with its stats replaced by score."""
+    measured = measured.drop("score")
     kept = [f for f in measured.schema.fields if f.name != "stats"]
     at = measured.columns.index("stats")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
@@ -168,7 +170,7 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     measured = materialize(with_statistics(docs).select(F.col("doc_id").alias("id"), "stats"), "quality-stats")
     model = fit(measured, learnable(table(spark, sf_dir, "labels")))
     return scored(measured, model).select(
