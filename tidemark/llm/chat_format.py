@@ -9,7 +9,8 @@ than it has, so no text can hold a control string, and taking one backslash away
 
 Defined results: a null text or role is empty; a null score counts as 0; of equal scores the branch with the smallest leaf id is
 chosen; a reply to a missing node is a root of its own; nodes of a reply cycle belong to no root and are left out; rows of
-one conversation and turn are ordered by role, then text, and all are kept; an empty table gives an empty result.
+one conversation and turn are ordered by role, then text, and all are kept; texts of any length are formatted whole; other
+columns aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

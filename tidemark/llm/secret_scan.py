@@ -7,7 +7,8 @@ lies in its window. The interval join is a sweep over a document's sorted parts,
 its text and its linked parts, and nothing is shuffled.
 
 Defined results: a null text is an empty one (no spans); repeated rows each get a result; spans of one kind never overlap;
-offsets are code points, end exclusive; a null doc_id stays null.
+offsets are code points, end exclusive; a null doc_id stays null; texts of any length are scanned whole; other columns aren't
+read by a scan and carried along by a redaction; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .common import map_rows, table
+from .common import map_rows, spread, table
 
 #: Kinds in the order in which spans of equal start are listed.
 KINDS = ("assign", "access", "hex", "identifier", "opaque", "endpoint")
@@ -146,16 +147,19 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """docs with the secrets of each text replaced by a mark and n_chars of the new text; other columns as they were."""
+    """docs with the secrets of each text replaced by a mark and n_chars, if there is such a column, of the new text; other
+    columns as they were."""
     columns = docs.columns
-    at_text, at_n = columns.index("text"), columns.index("n_chars")
+    at_text, at_n = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def clean(rows: Iterator[tuple]) -> Iterator[tuple]:
         for row in rows:
             text = redact(row[at_text])
             if text is not row[at_text]:
                 row = list(row)
-                row[at_text], row[at_n] = text, len(text)
+                row[at_text] = text
+                if at_n is not None:
+                    row[at_n] = len(text)
             yield tuple(row)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -165,7 +169,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 def op3_secret_scans(spark, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    found = scan_secrets(table(spark, sf_dir, "documents"))
+    found = scan_secrets(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
     def count(kind: str):
         return F.size(F.filter("base", lambda x: x.startswith(kind + ":"))).cast("long").alias(f"n_{kind}")
