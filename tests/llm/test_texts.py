@@ -106,12 +106,26 @@ def judged(url):
 
 
 def test_urls(spark):
-    pages = spark.createDataFrame([(i, u, True) for i, u in enumerate([*URLS, *URLS])], "page_id long, url string, listed boolean").drop("listed")
+    # Columns of the names that are added give way; others, also with names used inside, stay.
+    rows = [(i, u, "mine", "p", "m", 7, "r") for i, u in enumerate([*URLS, *URLS])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, listed string, path string, salt string, entry int, _row string")
     listed = spark.createDataFrame([(x,) for x in url_filter.LISTED], "url string")
-    rows = url_filter.judge(pages, listed).collect()
-    assert len(rows) == 2 * len(URLS)
+    found = url_filter.judge(pages, listed)
+    assert found.schema["listed"].dataType.simpleString() == "boolean" and len(found.columns) == len(set(found.columns))
+    rows = found.collect()
+    assert sorted(r.page_id for r in rows) == list(range(2 * len(URLS)))
     for r in rows:
         assert (r.host, r.path, r.rule, r.verdict) == judged(r.url)
+        assert (r.salt, r.entry, r._row) == ("m", 7, "r")
+    assert url_filter.judge(pages.limit(0), listed).count() == 0
+
+
+def test_joins_by_shuffle_give_the_same(spark):
+    urls = [u for u in URLS] + [f"http://a{i % 7}.spam-farm.example.com/x/y{i % 3}" for i in range(300)] + ["http://hot.example.org/z"] * 200
+    pages = url_filter.with_host_and_path(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    listed = spark.createDataFrame([(x,) for x in [*url_filter.LISTED, "hot.example.org/z"]], "url string")
+    one, two = ({r.page_id: r.listed for r in url_filter.listed_hits(pages, listed, broadcast_bytes=n).collect()} for n in (1 << 20, 0))
+    assert one == two and len(one) == len(urls) and sum(one.values()) > 500
 
 
 def test_list_of_any_size_has_no_false_positives(spark):
@@ -133,7 +147,7 @@ def test_deep_urls(spark):
     host, path = "a.b.c.d.e.f.g.example.com", "/1/2/3/4/5/6/7/8/page"
     page = url_filter.with_host_and_path(spark.createDataFrame([(f"https://{host}{path}",)], "url string"))
     levels = [(h, p) for h in (host.split(".", i)[-1] for i in range(8)) for p in [path, *(path.rsplit("/", i)[0] + "/" for i in range(1, 10))]]
-    found = {r.entry for r in url_filter.expressions(page.withColumn("_row", F.lit(0))).collect()}
+    found = {r.entry for r in url_filter.expressions(page).collect()}
     assert found == {h + p for h, p in levels} and len(found) == 80
 
 
@@ -167,6 +181,55 @@ def test_pages(spark):
     for i, expected in enumerate([*PAGES.values(), ""]):
         assert rows[i].text == expected and rows[i].n_chars == len(expected)
     assert html_extract.extract_pages(df.limit(0), html_extract.fit_weights(df.limit(0))).count() == 0
+    clash = html_extract.extract_pages(df, html_extract.PRIOR, keep=("page_id", "text")).columns
+    assert clash == ["page_id", "text", "n_chars"]
+
+
+LONG = " ".join(["word"] * 30)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p title="a hidden gem">kept text here</p></article>', "kept text here"),
+        ('<p title="a hidden gem">kept text here</p><p hidden>gone</p><div aria-hidden="true">gone</div><div style="display : none">gone</div>', "kept text here"),
+        (f"<article><p>{LONG}</p></article><aside>{LONG} {LONG} {LONG}</aside><article><p>second one</p></article><div>teaser</div>", f"{LONG}\n\nsecond one"),
+        ('<article><h1 class="post-header">Title</h1><p>some text</p></article>', "Title\n\nsome text"),
+        ('<article><p>intro text</p><section class="reviews-of-the-year"><p>the year</p></section></article>', "intro text\n\nthe year"),
+        (f"<article><p>{LONG}</p><ul><li>an item</li><li><a href=x>linked item</a></li></ul><table><tr><td>cell</td></tr></table></article>", f"{LONG}\n\nan item\n\nlinked item\n\ncell"),
+        (f"<article><p>{LONG}</p><article class='comment'><p>{LONG} {LONG}</p></article></article>", LONG),
+        (f"<main><p>{LONG}</p></main><div class='blurb'><p>{LONG} {LONG}</p></div>", LONG),
+    ],
+)
+def test_hard_pages(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_pages_without_their_labels(spark):
+    """Registered pages with the article tags taken out: the learned weights find the same text."""
+    import duckdb
+
+    pages = [h for (h,) in duckdb.sql("select html from '/root/testdata/sf0.001/pages.parquet'").fetchall()]
+    weights = html_extract.fit_weights(spark.createDataFrame([(h,) for h in pages], "html string"))
+    assert weights != html_extract.PRIOR
+    for page in pages:
+        bare = page.replace("<article>", "").replace("</article>", "")
+        assert bare != page and html_extract.extract(bare, weights) == html_extract.extract(page, weights) != ""
+
+
+def test_marks_are_learned():
+    """A class that only labelled pages tell about, on a page without labels."""
+    page = f"<div class='top-story'><p>{LONG}</p></div><div class='zz7'><p>{LONG}</p></div>"
+    labelled = f"<article><div class='top-story'><p>{LONG}</p></div></article><div class='zz9'><p>{LONG}</p></div>"
+    from collections import Counter
+
+    counts = Counter()
+    for _ in range(50):
+        for what, name, inside, n in html_extract.counted(labelled):
+            counts[what, name, inside] += n
+    weights = html_extract.learned(counts)
+    assert weights.marks[".zz"] < 0 < weights.marks[".top-story"]
+    assert html_extract.extract(page, weights) == LONG and html_extract.extract(page) == f"{LONG}\n\n{LONG}"
 
 
 def test_layout_classes_and_formulas():
@@ -192,7 +255,7 @@ def test_weights_follow_labels(spark):
     pages = ["<body><ul><li>menu item</li></ul><article><p>" + "text " * 50 + "</p></article></body>"] * 20
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
     w = html_extract.fit_weights(df)
-    assert w["p"] > 0 > w["li"]
+    assert w.kinds["p"] > 0 > w.kinds["li"]
 
 
 def test_weights_see_rare_labels(spark):
@@ -213,11 +276,13 @@ def test_scan_is_the_best_run():
     for _ in range(200):
         parts = [rng.choice(["<p>{}</p>", "<li><a>{}</a></li>", "<td>{}</td>"]).format(" ".join(["w"] * rng.randint(1, 6))) for _ in range(rng.randint(1, 9))]
         page = "".join(parts)
-        found = html_extract.blocks(page)
-        score = [(b.words - min(b.links, b.words)) * html_extract.PRIOR[b.kind] + min(b.links, b.words) * html_extract.LINK_WEIGHT + b.tags * html_extract.TAG_WEIGHT for b in found]
+        parsed = html_extract.parsed(page)
+        found, w = parsed.blocks, html_extract.PRIOR
+        gain = [b.words * html_extract.word_score(parsed, b, w, False) + b.links * w.link for b in found]
+        score = [(g if g > 0 else max(g, html_extract.DAMPED * b.words)) + b.tags * w.tag for g, b in zip(gain, found)]
         best = max((sum(score[i:j]) for i in range(len(score)) for j in range(i, len(score) + 1)), default=0)
         text = html_extract.extract(page)
-        runs = {"\n\n".join(b.text for b in found[i:j]) for i in range(len(score)) for j in range(i + 1, len(score) + 1) if abs(sum(score[i:j]) - best) < 1e-9}
+        runs = {"\n\n".join(b.text for b, g in zip(found[i:j], gain[i:j]) if g > 0) for i in range(len(score)) for j in range(i + 1, len(score) + 1) if abs(sum(score[i:j]) - best) < 1e-9}
         assert text in runs or best <= 0 and text == ""
 
 
@@ -243,12 +308,60 @@ def test_tokens_equal_the_library(spark):
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
 
 
-def test_heap_and_recursion_agree():
+@pytest.fixture(scope="module")
+def library():
+    import tiktoken
+
+    data, pattern = byte_bpe.public_vocabulary()
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(data), special_tokens={})
+
+
+def test_many_and_long_words(library):
+    """One path for all: 40,000 runs of 12 Chinese characters, 40,000 words of 60 letters, words of 20,000 bytes."""
+    import random
+
+    rng = random.Random(8)
+    chinese = {"".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(12)) for _ in range(40_000)}
+    letters = {"".join(rng.choices("etaoinshrdlucmfw", k=60)) for _ in range(40_000)}
+    long = {"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)), "x" * 20_000, "xy" * 10_000 + "x", " " * 20_000, "ab" * 200 + "é" * 300}
     codec = byte_bpe.Codec(byte_bpe.public_vocabulary()[0])
-    words = [w.encode() for w in ("thntwhnting", "aaaaaaaaaaaa", "èéêëthe", "x", "hello", "....!!!....")]
-    ids, decoded = codec.merge_words(words)
-    assert [[int(x) for x in i.split()] for i in ids] == [codec.merge_long(w) for w in words]
-    assert decoded == words == codec.decode([codec.merge_long(w) for w in words])
+    codec.learn(chinese | letters | long)
+    for words in (rng.sample(sorted(chinese), 3000), rng.sample(sorted(letters), 3000), long):
+        for w in words:
+            assert [int(x) for x in codec.words[w].split()] == library._encode_single_piece(w.encode())
+    assert not codec.differ
+
+
+def test_rounds_with_several_contractions(library):
+    """Short words over few letters, where contractions overlap and meet, in one batch."""
+    import itertools
+
+    words = ["".join(x) for n in (1, 2, 3, 4, 5, 6, 7) for x in itertools.product("the", repeat=n)] + ["".join(x) for x in itertools.product("an. ", repeat=6)] + ["=" * n for n in range(1, 90)]
+    codec = byte_bpe.Codec(byte_bpe.public_vocabulary()[0])
+    ids, decoded = codec.merge_words([w.encode() for w in words])
+    assert [[int(x) for x in i.split()] for i in ids] == [library._encode_single_piece(w.encode()) for w in words]
+    assert decoded == [w.encode() for w in words]
+
+
+def test_long_texts_are_taken_in_pieces(spark, library, monkeypatch):
+    texts = ["the cat, " * 3000, "\U0001f600 wörd " * 3000, None, "", "short"]
+    data, pattern = byte_bpe.public_vocabulary()
+    split = byte_bpe.splitter(pattern)
+    monkeypatch.setattr(byte_bpe, "CHUNK_CHARS", 1000)
+    for t in texts[:2]:
+        lists = list(split(t, False))
+        assert len(lists) > 10 and "".join(w for x in lists for w in x) == t
+    marked = spark.createDataFrame([(texts[0],)], "t string")
+    (row,) = byte_bpe.with_cuts(marked.selectExpr("1 as i", "t"), pattern, "t", "i").collect()
+    lists = list(split(row.text, row.cut))
+    assert row.cut and len(lists) > 10 and [w for x in lists for w in x] == [w for x in split(texts[0], False) for w in x]
+    one = byte_bpe.Digest()
+    codec = byte_bpe.Codec(data)
+    for words in lists:
+        codec.learn(set(words))
+        one.add(codec, words)
+    ids = library.encode_ordinary(texts[0])
+    assert one.row() == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[0].encode()).hexdigest())
 
 
 # --- chats
