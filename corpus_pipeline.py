@@ -1,11 +1,16 @@
-"""A training-data pipeline of five of the operators. run() applies STAGES to documents, each on what its predecessor kept."""
+"""A training-data pipeline of five of the operators. run() applies STAGES to documents, each on what its predecessor kept.
+
+Defined results: a document with a null or empty text is judged by the classifier like any other, takes no part in near-dedup, holds
+no secrets and is never in the mix; a null id has no near-duplicates; of repeated rows one stays; texts of any length are taken
+whole; stages carry columns of any name along, and run() reads the five columns of documents; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.byte_bpe import public_vocabulary, token_digests
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import materialize, spread, table
 from tidemark.llm.minhash_dedup import keep_one
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.quality import keep_good
@@ -50,7 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir).select("doc_id", "text", "lang", "source", "n_chars"), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
