@@ -69,14 +69,17 @@ def check_in(state: State, consumer: str, subscription_id: int, weight: float, a
     state, status = liveness.heartbeat(state, consumer, subscription_id, weight, as_of)
     state = liveness.collect_garbage(state, as_of, subscription_id)
     state = liveness.refresh_subscription_metrics(state, as_of, subscription_id)
+    # Written before it is read by all that follows, which else would plan and compute it anew each time.
+    state = state.checkpointed("consumers", "leases", "subscription_topics", "consumer_subscriptions")
     if status == "ACCEPTED":
         state = liveness.refresh_consumer_metrics(state, as_of, consumer)
         state, status = liveness.heartbeat(state, consumer, subscription_id, weight, as_of)
+        state = state.checkpointed("consumers")
         row = decisions(state).filter(F.col("consumer_id") == consumer).first()
         if row is not None and row.decision == "release":
             state = leases.release_excess(state, consumer, subscription_id, row.n, as_of)
         elif row is not None and row.decision == "acquire" and row.n > 0:
             state = leases.acquire(state, consumer, subscription_id, row.n, pivot, as_of)
-        state = state.checkpointed("consumers", "leases", "subscription_topics", "consumer_subscriptions")
+        state = state.checkpointed("leases")
     result = state.spark.range(1).select(F.lit(consumer).alias("id"), F.lit(status).alias("status")).join(state["consumers"], "id", "left")
     return state, result.select("heartbeat_interval", "heartbeat_deadline", "status"), leases.leased_cursors(state).filter(F.col("consumer_id") == consumer).orderBy("id")
