@@ -45,3 +45,25 @@ def test_connection_and_parameters(spark):
     with pytest.raises(ValueError):
         Connection.from_environment({"DB_TYPE": "other"})
     assert select(spark, "select :x as x", x="a' or 1=1").first().x == "a' or 1=1"
+
+
+def test_tables_are_read_by_jdbc(spark):
+    """A database in the session's own process; only its address is another one than from_environment gives."""
+    from tidemark.sources.connection import Connection
+
+    class Embedded(Connection):
+        url = property(lambda self: f"jdbc:derby:memory:{self.name};create=true")
+
+    assert Connection.from_environment({"DB_NAME": "jdbc_test"}).url == "jdbc:mysql://localhost:3306/jdbc_test"
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    where = Embedded("mysql", "", "", "jdbc_test", "app", "app")
+    database = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(where.url, where.user, where.password)
+    run = database.createStatement()
+    run.execute("create table topics (id bigint, name varchar(20))")
+    for i in range(10):
+        run.execute(f"insert into topics values ({i}, 'topic {i}')")
+    whole = where.read(spark, "topics")
+    assert sorted((r.ID, r.NAME) for r in whole.collect()) == [(i, f"topic {i}") for i in range(10)]
+    dealt = where.read(spark, "topics", ("ID", 0, 10, 3))
+    assert dealt.rdd.getNumPartitions() == 3 and dealt.count() == 10
+    database.close()

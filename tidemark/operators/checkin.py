@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import least, quotient, to_integer
-from ..state import State
+from ..state import State, written
 from . import leases, liveness
 
 #: How far above its target a consumer's number of leases may be.
@@ -52,8 +52,8 @@ def check_in_all(state: State, as_of: Column) -> DataFrame:
 
 def rebalance(state: State, as_of: Column, pivot: int) -> State:
     """Excess leases of all consumers go into release; free cursors go to consumers that want them, the first by id if several do."""
-    state = prepared(state, as_of)
-    found = decisions(state)
+    state = prepared(state, as_of).checkpointed("consumers", "leases", "subscription_topics", "consumer_subscriptions")
+    found = written(decisions(state), "decisions")  # read three times
     turns = leases.acquirable(state, found.filter("decision = 'acquire' and n > 0").select("consumer_id", "subscription_id", "n"), pivot)
     first = turns.groupBy("id").agg(F.min("consumer_id").alias("consumer_id"))
     takes = turns.join(first, ["id", "consumer_id"], "left_semi")

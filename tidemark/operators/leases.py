@@ -34,13 +34,17 @@ def leased_cursors(state: State) -> DataFrame:
 def acquirable(state: State, wanted: DataFrame, pivot: int) -> DataFrame:
     """wanted(consumer_id, subscription_id, n) -> free cursors (consumer_id, cursor columns, turn) of the topics chosen.
 
-    Each consumer takes them from the pivot of random keys on, round to the start, n at most, on this state by itself.
+    Each consumer takes them from the pivot of random keys on, round to the start, n at most, on this state by itself. As the
+    order is the same for all, of a topic only as many cursors as its keenest consumer wants meet its consumers.
     """
-    free = unleased_cursors(state).alias("c")
     chosen = state["consumer_subscriptions"].join(wanted, "consumer_id").select("consumer_id", "subscription_id", "topic_id", "n").distinct()
+    order = (F.col("random_key") < pivot, F.col("random_key"), F.col("id"))
+    keenest = chosen.groupBy("subscription_id", "topic_id").agg(F.max("n").alias("most"))
+    free = unleased_cursors(state).join(keenest, ["subscription_id", "topic_id"])
+    free = free.withColumn("_place", F.row_number().over(Window.partitionBy("subscription_id", "topic_id").orderBy(*order))).filter("_place <= most").drop("_place", "most")
     rows = free.join(chosen, ["subscription_id", "topic_id"])
-    order = Window.partitionBy("consumer_id", "subscription_id").orderBy(F.col("random_key") < pivot, "random_key", "id")
-    return rows.withColumn("turn", F.row_number().over(order).cast("long")).filter("turn <= n").select("consumer_id", *state["cursors"].columns, "turn")
+    turn = F.row_number().over(Window.partitionBy("consumer_id", "subscription_id").orderBy(*order))
+    return rows.withColumn("turn", turn.cast("long")).filter("turn <= n").select("consumer_id", *state["cursors"].columns, "turn")
 
 
 def taken_over(state: State, rows: DataFrame, as_of: Column) -> State:

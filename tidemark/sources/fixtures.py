@@ -72,7 +72,9 @@ def derived(spark: SparkSession, sf_dir: str) -> State:
     state = state.having(partitions=written(lifted(generated_partitions(state["topics"]), state["sequences"]), "partitions"))
     markets = _ranked(customer, "market")
     state = state.having(subscriptions=written(markets.select("id", "name", as_of().alias("last_modified_at")), "subscriptions"))
-    links = markets.select(F.col("id").alias("subscription_id")).crossJoin(F.broadcast(state["topics"].select(F.col("id").alias("topic_id")))).filter((F.col("subscription_id") + F.col("topic_id")) % 2 == 0)
+    # Subscriptions and topics whose numbers are both even or both odd.
+    parity = lambda c: (F.col(c) % 2).alias("parity")
+    links = markets.select(F.col("id").alias("subscription_id"), parity("id")).join(state["topics"].select(F.col("id").alias("topic_id"), parity("id")), "parity").drop("parity")
     links = links.withColumn("id", F.row_number().over(Window.orderBy("subscription_id", "topic_id")).cast("long"))
     links = links.select("id", "subscription_id", "topic_id", F.lit(15.0).alias("heartbeat_interval"), F.lit(0).alias("active_partitions"), F.lit(0).alias("active_consumers"), F.lit(0.0).alias("active_consumers_weight"), as_of().alias("created_at"), as_of().alias("last_modified_at"))
     state = state.having(subscription_topics=written(links, "links"))
