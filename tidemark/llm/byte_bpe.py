@@ -73,16 +73,8 @@ class Codec:
     """The vocabulary in a DuckDB instance with one thread."""
 
     def __init__(self, data: bytes, memory: str = MEMORY):
-        import duckdb
-
-        self.ranks = read_ranks(data)
+        self.ranks, self.memory = read_ranks(data), memory
         self.first = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        #: The ids of each word that is kept; what they decode to, where that isn't the word's own bytes.
-        self.words: dict[str, str] = {}
-        self.differ: dict[str, bytes] = {}
-        #: Words that were kept when they came again.
-        self.again: set[str] = set()
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         found = []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
@@ -93,12 +85,37 @@ class Codec:
         # Tokens that a neighbour could take up at a smaller rank than their own: such a merge would come before other occurrences.
         early = np.union1d(left[rank < left], right[rank < right])
         how = np.where(np.isin(rank, early), FIRST, np.where(left == right, EVERY_SECOND, ALL))
-        self._fill("merges", {"pair": pa.array(left * 65536 + right), "code": pa.array((4 * rank + how).astype(np.int32))})
-        self._fill("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "piece": pa.array([t.hex() for t in self.ranks])})
+        self.merges = pa.table({"pair": pa.array(left * 65536 + right), "code": pa.array((4 * rank + how).astype(np.int32))})
+        self.db = None
+        self.resting = ("", "")
+        self.wake()
+
+    def wake(self) -> None:
+        """Before a task: the instance, and the words that the worker's last task left."""
+        import duckdb
+
+        #: The ids of each word that is kept; what they decode to, where that isn't the word's own bytes; words that came again.
+        self.words: dict[str, str] = dict(zip(*(x.split(_CUT) for x in self.resting))) if self.resting[0] else {}
+        self.differ: dict[str, bytes] = {}
+        self.again: set[str] = set(self.words)
+        if self.db is None:
+            self.db = duckdb.connect(config={"threads": 1, "memory_limit": self.memory, "temp_directory": ""})
+            self._fill("merges", self.merges)
+            self._fill("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": pa.array([t.hex() for t in self.ranks])}))
 
-    def _fill(self, name: str, columns: dict) -> None:
-        self.db.register("given", pa.table(columns))
-        self.db.execute(f"create or replace table {name} as select * from given")
+    def rest(self) -> None:
+        """After a task, as a worker lives on, for other operators' tasks too: only words that came again are left, in one piece."""
+        left = [w for w in self.again if w in self.words and w not in self.differ and _CUT not in w]
+        left = left if len(left) <= RESTING_WORDS else []
+        self.resting = _CUT.join(left), _CUT.join(self.words[w] for w in left)
+        self.forget()
+        self.db.close()
+        self.db = None
+        pa.default_memory_pool().release_unused()
+
+    def _fill(self, name: str, rows: pa.Table) -> None:
+        self.db.register("given", rows)
+        self.db.execute(f"create table {name} as select * from given")
         self.db.unregister("given")
 
     def merge_words(self, words: list[bytes]) -> tuple[list[str], list[bytes]]:
@@ -158,13 +175,6 @@ class Codec:
         self.differ.clear()
         self.again.clear()
 
-    def rest(self) -> None:
-        """At the end of a task, as a worker lives on, for other operators' tasks too: only words that came again are kept."""
-        if len(self.again) > RESTING_WORDS:
-            self.forget()
-        self.words = {w: self.words[w] for w in self.again}
-        self.differ = {w: d for w, d in self.differ.items() if w in self.again}
-
     def decoded(self, words: list[str]) -> bytes:
         """What the ids of a text, encoded before, decode to: each word's own bytes, as learn() has compared, unless differ has others."""
         if self.differ:
@@ -280,6 +290,7 @@ def _encoded(docs: DataFrame, data: bytes, pattern: str, id_col: str, text_col:
 
     def run(batches):
         codec, split = codec_of(shared.value), splitter(pattern)
+        codec.wake()
         for rows in _chunks(batches):
             found = []
             texts = [split(text, cut) for _, text, cut in rows]
@@ -312,11 +323,13 @@ def decode_documents(encoded: DataFrame, data: bytes, id_col: str = "doc_id", id
 
     def run(batches):
         codec = codec_of(shared.value)
+        codec.wake()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 found = codec.decode([x or [] for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=[id_col, "bytes"])
+        codec.rest()
 
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, bytes binary")
 
