@@ -58,6 +58,11 @@ def match_threshold(similarity: float, coordinates: int = COORDINATES) -> int:
     return max(1, math.floor(mean - DEVIATIONS * math.sqrt(mean * (1 - similarity))))
 
 
+def digest_of(shingles: np.ndarray) -> bytes | None:
+    """Equal for equal sets; null for an empty one."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, digest, sig array<int>); digest and sig are null for an empty set."""
     coefficients = multipliers(COORDINATES)
@@ -66,7 +71,7 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
         for i, text in rows:
             s = shingle_set(text, words)
             if len(s):
-                yield i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s, coefficients).view(np.int32)
+                yield i, len(s), digest_of(s), signature(s, coefficients).view(np.int32)
             else:
                 yield i, 0, None, None
 
@@ -284,7 +289,7 @@ def second_links(posts: DataFrame, sets: DataFrame, comps: DataFrame, matches: i
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row for each row of docs."""
+    """(doc_id, n_shingles, component_id, kept, digest): one row for each row of docs; digest is that of its shingle set."""
     matches, many = match_threshold(percent / 100), match_threshold(percent / 100, WIDE)
     signed = materialize(signatures(docs, words, id_col, text_col), "minhash-sets")
     distinct = signed.filter("digest is not null and doc_id is not null").groupBy("digest")
@@ -305,14 +310,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     placed = sets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").filter("n > 1 or component is not null")
     placed = placed.select("digest", F.coalesce("component", "rep").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = signed.select("doc_id", "n_shingles", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    alone = dealt.filter("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = dealt.filter("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "digest")
     found = dealt.filter("digest is not null and doc_id is not null").join(placed, ["digest", "salt"], "left")
-    found = found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).unionByName(alone)
-    return found.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    found = found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "digest").unionByName(alone)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "digest")
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), words=3, percent=85)
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), words=3, percent=85).drop("digest")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -325,11 +331,14 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     plain = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
     key, text = names["doc_id"], names["text"]
     found = materialize(near_duplicates(docs.select("doc_id", "text"), words, percent), "minhash-kept")
-    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key))
-    kept = plain.join(small(gone), key, "left_anti")
-    if not again.isEmpty():
-        again, row = small(again), F.struct(*names.values())
-        rows = kept.join(again, key, "left_semi").groupBy(key, F.sha2(text, 256)).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
-        kept = kept.join(again, key, "left_anti").unionByName(rows)
+    of_id = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("any"), F.count("*").alias("rows"))
+    kept = plain.join(small(of_id.filter("not any").select(key)), key, "left_anti")
+    again = of_id.filter("any and rows > 1").select(key)
+    if not again.isEmpty():  # ids with several rows: each is judged by its own text
+        again, at, row = small(again), list(names).index("text"), F.struct(*names.values())
+        schema = ", ".join(f"{names[f.name]} {f.dataType.simpleString()}" for f in docs.schema.fields)
+        rows = map_rows(kept.join(again, key, "left_semi").select(*names.values()), f"{schema}, own binary", lambda rows: ((*r, digest_of(shingle_set(r[at], words))) for r in rows))
+        rows = rows.join(found.filter("not kept").select(F.col("doc_id").alias(key), F.col("digest").alias("own")), [key, "own"], "left_anti")
+        rows = rows.groupBy(key, F.sha2(text, 256)).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+        kept = kept.join(again, key, "left_anti").select(*names.values()).unionByName(rows)
     return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
