@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, table
+from .common import map_rows, materialize, release, table
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>\n", "\n"
 # Fixed value: both texts of the conversation that the query adds.
@@ -75,6 +75,7 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     # up is the node so many hops above; gain sums the scores of the nodes passed, the start included. Nodes whose pointer has
     # passed the root are done and only looked up: a round's rows are the nodes that are deeper than it has reached.
     step = materialize(step, "chat-jump")
+    steps = [step]
     done = [step.filter("up is null")]
     jumps = [step.filter("up is not null")]
     bound = max(1, keep.count()).bit_length()
@@ -86,6 +87,7 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         above = known.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("h2"), F.col("gain").alias("g2"))
         step = here.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("hops") + F.col("h2")).alias("hops"), (F.col("gain") + F.col("g2")).alias("gain"))
         step = materialize(step, "chat-jump")
+        steps.append(step)
         done.append(step.filter("up is null"))
         jumps.append(step.filter("up is not null"))
     whole = done[0]  # hops: nodes on the path to the root; nodes of cycles are never done
@@ -102,7 +104,10 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         width = 1 << k
         above = paths.join(jumps[k], ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"), (F.col("depth") - width).alias("depth"))
         # Written each time: a plan that holds itself twice would double with every round.
-        paths = materialize(paths.unionByName(above), "chat-paths")
+        longer = materialize(paths.unionByName(above), "chat-paths")
+        release(paths)
+        paths = longer
+    release(keep, *steps)
     return paths
 
 
