@@ -107,9 +107,10 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((r.doc_id or 0) for r in minhash_dedup.keep_one(df).collect()) == [0, 1, 3]
     # One id with texts that aren't alike: all stay, of equal rows the first by other columns.
     rows = [(1, "a b c d e f", "y", "", 1), (1, "a b c d e f", "x", "", 1), (1, "quite another text it is", "z", "", 1), (2, "a b c d e f", "", "", 1)]
+    rows += [(3, "a b c d e f", "copy", "", 1), (3, "and a text of its own", "own", "", 1), (3, None, "null", "", 1)]
     wide = spark.createDataFrame(rows, schema).selectExpr("*", "1 as rep", "2 as _c0", "map(1, 2) as salt")
     kept = minhash_dedup.keep_one(wide)
-    assert kept.columns == wide.columns and sorted((r.doc_id, r.lang, r.rep) for r in kept.collect()) == [(1, "x", 1), (1, "z", 1)]
+    assert kept.columns == wide.columns and sorted((r.doc_id, r.lang, r.rep) for r in kept.collect()) == [(1, "x", 1), (1, "z", 1), (3, "null", 1), (3, "own", 1)]
     long = spark.createDataFrame([(1, "w " * 200_000), (2, "w " * 200_001), (3, "v" * 100_000)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(long).collect()} == {1: 1, 2: 1, 3: 3}
 
