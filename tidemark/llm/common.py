@@ -101,6 +101,7 @@ def map_rows(
                 if found:
                     columns = list(zip(*found))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out_schema.types)], schema=out_schema)
+        pa.default_memory_pool().release_unused()  # a worker lives on, for other operators' tasks too
 
     return df.mapInArrow(run, schema)
 
@@ -150,6 +151,7 @@ def map_groups(df: DataFrame, keys: list[str], schema: str, group: Callable[[tup
             close()
         if found:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
