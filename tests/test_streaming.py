@@ -52,3 +52,34 @@ def test_readers_follow_the_stream(spark, tmp_path):
     s(events(spark, 7, 6), 1)
     follow()
     assert len(read()) == 8 + 12
+
+
+def shuffled(spark, f) -> int:
+    """The rows that are dealt over in what f runs."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before, threshold = total(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # every side is dealt over, as large ones are
+    try:
+        f()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    return total() - before
+
+
+def test_an_event_meets_its_payload_once_for_all_readers(spark, tmp_path):
+    n, readers = 2000, 40
+    log = spark.range(1, n + 1).selectExpr("id", "id % 2 as partition_id")
+    log.selectExpr("id as sequence", "partition_id", "id as event_id").write.parquet(f"{tmp_path}/sequences/batch=0")
+    spark.range(readers).selectExpr("id", "0L as partition_id", "id * 10 as position").write.parquet(f"{tmp_path}/cursors")  # nobody reads partition 1
+    log.selectExpr("id", "cast(concat('data ', id) as binary) as data").write.parquet(f"{tmp_path}/events")
+    cursors, payload = spark.read.parquet(f"{tmp_path}/cursors"), spark.read.parquet(f"{tmp_path}/events")
+    rows = shuffled(spark, lambda: fetch_stream(read_sequences(spark, f"file://{tmp_path}"), cursors, payload, f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination())
+    found = sorted((r.cursor_id, r.sequence, r.event_id, bytes(r.data)) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert found == [(c, i, i, f"data {i}".encode()) for c in range(readers) for i in range(c * 10 + 1, n + 1) if i % 2 == 0]
+    assert len(found) > 30_000 and rows < 5 * n
