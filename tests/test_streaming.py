@@ -2,6 +2,10 @@
 
 import os
 
+import pytest
+
+from tidemark.operators.log import fetch
+from tidemark.state import bootstrap
 from tidemark.streaming.sequencer import Sequencer, fetch_stream, read_sequences
 
 
@@ -83,3 +87,24 @@ def test_an_event_meets_its_payload_once_for_all_readers(spark, tmp_path):
     found = sorted((r.cursor_id, r.sequence, r.event_id, bytes(r.data)) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert found == [(c, i, i, f"data {i}".encode()) for c in range(readers) for i in range(c * 10 + 1, n + 1) if i % 2 == 0]
     assert len(found) > 30_000 and rows < 5 * n
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_a_fetch_for_many_cursors_deals_each_event_once(spark, tmp_path, most):
+    n, readers = 2000, 40
+    log = spark.range(1, n + 1).selectExpr("id", "id % 2 as partition_id")
+    log.selectExpr("id as sequence", "partition_id", "id as event_id").write.parquet(f"{tmp_path}/sequences")
+    log.selectExpr("id", "cast(concat('data ', id) as binary) as data").write.parquet(f"{tmp_path}/events")
+    # Two cursors at each position, with no event, one or five between positions, and two near the end.
+    at = {c: [0, 1, 2, 3, 13, n - 3, n][c // 2 % 7] for c in range(readers)}
+    spark.createDataFrame(list(at.items()), "id long, position long").selectExpr("id", "0L as partition_id", "position").write.parquet(f"{tmp_path}/cursors")
+    read = lambda t: spark.read.parquet(f"{tmp_path}/{t}")
+    state = bootstrap(spark).having(sequences=read("sequences"), events=read("events"))
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "-1")  # all that is ranked is dealt
+    try:
+        rows = shuffled(spark, lambda: fetch(state, read("cursors"), most).write.parquet(f"{tmp_path}/out"))
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    found = sorted((r.cursor_id, r.sequence, r.event_id, bytes(r.data)) for r in read("out").collect())
+    assert found == [(c, i, i, f"data {i}".encode()) for c in at for i in [i for i in range(at[c] + 1, n + 1) if i % 2 == 0][:most]]
+    assert rows < 5 * n

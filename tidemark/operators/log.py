@@ -76,12 +76,33 @@ def sequence(state: State, batch_size: int | None = None) -> tuple[State, int]:
     return state.counting(sequences=first + found.n), found.n
 
 
+def first_rows(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Of each key, the rows of the smallest sequences."""
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("sequence"))).filter(F.col("_rank") <= most).drop("_rank")
+
+
+def delivered(sequences: DataFrame, cursors: DataFrame, events: DataFrame) -> DataFrame:
+    """(cursor_id, sequence, event_id, data) of what comes after each cursor's position. An event that any cursor wants meets its
+    payload once, before it is handed to all of them, so that what is sorted doesn't grow with the cursors of a partition."""
+    at = cursors.select(F.col("id").alias("cursor_id"), "partition_id", "position")
+    rows = sequences.join(at.groupBy("partition_id").agg(F.min("position").alias("floor")), "partition_id").filter("sequence > floor").drop("floor")
+    rows = rows.join(events.select(F.col("id").alias("event_id"), "data"), "event_id")
+    return rows.join(at, "partition_id").filter("sequence > position").select("cursor_id", "sequence", "event_id", "data")
+
+
 def fetch(state: State, cursors: DataFrame, most: int | None = None) -> DataFrame:
     """(cursor_id, sequence, event_id, data) of the events after each cursor's position, at most so many for each."""
+    if most is None:
+        return delivered(state["sequences"], cursors, state["events"])
     at = cursors.select(F.col("id").alias("cursor_id"), "partition_id", "position")
-    rows = state["sequences"].join(at, "partition_id").filter("sequence > position").select("cursor_id", "sequence", "event_id")
-    if most is not None:
-        rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("cursor_id").orderBy("sequence"))).filter(F.col("_rank") <= most).drop("_rank")
+    # A cursor's first events are among the first after each position of its partition, up to the next; these are few, and an
+    # event lies in one such span, so no sort meets it once for each cursor.
+    following = F.lead("position").over(Window.partitionBy("partition_id").orderBy("position"))
+    spans = at.select("partition_id", "position").distinct().withColumn("next", following)
+    near = state["sequences"].join(spans, "partition_id").filter("sequence > position and (next is null or sequence <= next)")
+    near = first_rows(near, ["partition_id", "position"], most).select("sequence", "partition_id", "event_id")
+    rows = near.join(at, "partition_id").filter("sequence > position").select("cursor_id", "sequence", "event_id")
+    rows = first_rows(rows, ["cursor_id"], most)
     return rows.join(state["events"].select(F.col("id").alias("event_id"), "data"), "event_id").select("cursor_id", "sequence", "event_id", "data")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbered_in_bulk
-from ..operators.log import routed
+from ..operators.log import delivered, routed
 
 SEQUENCES = "sequence long, partition_id long, event_id long"
 
@@ -89,10 +89,6 @@ def watermarks(spark: SparkSession, path: str) -> DataFrame:
 
 def fetch_stream(sequences: DataFrame, cursors: DataFrame, events: DataFrame, path: str, checkpoint: str):
     """Start following a stream of sequences for cursors(id, partition_id, position): what comes after a cursor's position is
-    written with its payload, as (cursor_id, sequence, event_id, data). An event that any cursor wants meets its payload once,
-    before it is handed to all of them, so that what is sorted doesn't grow with the cursors of a partition."""
-    at = cursors.select(F.col("id").alias("cursor_id"), "partition_id", "position")
-    rows = sequences.join(at.groupBy("partition_id").agg(F.min("position").alias("floor")), "partition_id").filter("sequence > floor").drop("floor")
-    rows = rows.join(events.select(F.col("id").alias("event_id"), "data"), "event_id")
-    rows = rows.join(at, "partition_id").filter("sequence > position").select("cursor_id", "sequence", "event_id", "data")
+    written with its payload, as (cursor_id, sequence, event_id, data)."""
+    rows = delivered(sequences, cursors, events)
     return rows.writeStream.foreachBatch(_batches(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
